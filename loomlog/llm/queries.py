@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .crf_language import held_out, identify_languages
 from .packing import pack_documents
 from .rendezvous import shard_records
 from .wu_manber import mark_benchmark_overlap
@@ -20,6 +21,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, docs.where(~held_out(docs)))
+    return found.select("doc_id", held_out(docs).alias("held_out"), "language.lang_pred", "language.score")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mark_benchmark_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -34,6 +41,7 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": language_id,
     "op4_decontamination": decontamination,
     "op7_packing": packing,
     "op10_sharding": sharding,

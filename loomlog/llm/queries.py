@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .crf_language import held_out, identify_languages
+from .html_tree import extract_main_text
 from .packing import pack_documents
 from .rendezvous import shard_records
 from .wu_manber import mark_benchmark_overlap
@@ -36,6 +37,10 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(table(spark, sf_dir, "documents")).withColumn("law", F.lit("key"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id,
     "op4_decontamination": decontamination,
     "op7_packing": packing,
+    "op9_html_extraction": html_extraction,
     "op10_sharding": sharding,
 }
 

@@ -79,7 +79,7 @@ def parse(source: str | None) -> Page:
     tags are skipped, scripts, styles, comments and other raw elements are dropped with what they hold."""
     page = Page([-1], [0], [[feature("tag #root")]], [0], [False], [], [int((source or "").startswith("\x01"))])
     stack, open_count = [("#root", 0, False)], {"#root": 1}  # name, block, whether it is a link
-    links, piece, chars, linked = 0, [], [0], [0]
+    links, piece, chars, linked, within = 0, [], [0], [0], [0]
     source = (source or "").removeprefix("\x01")  # a labelled page whose root is content starts with U+0001
     at = 0
 
@@ -158,7 +158,8 @@ def parse(source: str | None) -> Page:
         block = len(page.parents)
         page.parents.append(above)
         page.depths.append(page.depths[above] + 1)
-        page.features.append(named_features(tag, attrs if "data-main" not in attrs else _MAIN.sub("", attrs)))
+        page.features.append([*named_features(tag, attrs if "data-main" not in attrs else _MAIN.sub("", attrs)), _WITHIN[within[above]]])
+        within.append(_SECTIONS.get(tag, within[above]))
         page.groups.append(0 if tag in GROUPS else 1)
         page.never.append(page.never[above] or tag in NEVER or bool(attrs and _HIDDEN.search(attrs)))
         told = _MAIN.search(attrs)
@@ -191,6 +192,8 @@ def parse(source: str | None) -> Page:
     return page
 
 
+_SECTIONS = {name: i + 1 for i, name in enumerate("article main nav aside header footer form".split())}
+_WITHIN = [feature(f"within {name}") for name in ("nothing", *_SECTIONS)]
 _LENGTH = [feature(f"length {i}") for i in range(10)]
 _LINKED = [feature(f"linked {i}") for i in range(6)]
 _BELOW = [feature(f"below {i}") for i in range(11)]
@@ -426,9 +429,9 @@ def labelled_pages(count: int, seed: int = 3) -> list[str]:
         for _ in range(r.choice((0, 0, 0, 1, 2))):
             parts.insert(r.randrange(len(parts) + 1), extra())
         inner = "".join(parts)
-        tag, name = r.choice((("article", ""), ("article", ""), ("article", named(_CONTENT)), ("main", ""), ("div", named(_CONTENT)), ("div", named(_CONTENT)), ("section", named(_CONTENT)), ("div", "")))
+        tag, name = r.choice((("article", ""), ("article", ""), ("article", named(_CONTENT)), ("main", ""), ("main", ""), ("div", named(_CONTENT)), ("div", named(_CONTENT)), ("section", named(_CONTENT)), ("div", "")))
         inner = f'<{tag}{name} data-main="1">{inner}</{tag}>'
-        return r.choice((inner, inner, inner, f"<main>{inner}</main>", f'<div class="{r.choice(("container", "wrapper", "row", "page", "layout"))}">{inner}</div>', f"<div>{inner}</div>"))
+        return r.choice((inner, inner, inner, f'<main data-main="1">{inner}</main>', f'<div class="{r.choice(("container", "wrapper", "row", "page", "layout"))}">{inner}</div>', f"<div>{inner}</div>"))
 
     def page() -> str:
         nonlocal stops

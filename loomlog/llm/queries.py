@@ -11,6 +11,7 @@ from .common import table
 from .crf_language import held_out, identify_languages
 from .html_tree import extract_main_text
 from .jaccard_join import jaccard_components
+from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .rendezvous import shard_records
 from .wu_manber import mark_benchmark_overlap
@@ -34,6 +35,10 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,6 +58,7 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id,
     "op4_decontamination": decontamination,
+    "op5_line_dedup": line_dedup,
     "op7_packing": packing,
     "op8_ngram_jaccard_join": ngram_jaccard_join,
     "op9_html_extraction": html_extraction,
@@ -60,6 +66,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_line_dedup": r"""
+WITH l AS (SELECT doc_id, i - 1 AS line, parts[i] AS body
+           FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
+t AS (SELECT doc_id, line, body, list_sort(list_distinct(regexp_extract_all(body, '[^ \t\x0b\f\r]+'))) AS w FROM l),
+c AS (SELECT w, min({'d': doc_id, 'l': line}) AS f, row_number() OVER () AS c FROM t WHERE len(w) > 0 GROUP BY w),
+e AS (SELECT c, f, len(w) AS n, unnest(w) AS x FROM c),
+q AS (SELECT x, count(*) AS df FROM e GROUP BY x),
+p AS (SELECT c, f, n, x, row_number() OVER (PARTITION BY c ORDER BY df, x) AS pos FROM e JOIN q USING (x)),
+r AS (SELECT * FROM p WHERE pos <= n - CAST(ceil(n * 80 / 100.0 - 1e-9) AS BIGINT) + 1),
+k AS (SELECT DISTINCT a.c AS later, b.c AS earlier FROM r a JOIN r b ON a.x = b.x AND b.f < a.f AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80),
+g AS (SELECT DISTINCT later FROM (SELECT k.later, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM k JOIN c a ON a.c = k.later JOIN c b ON b.c = k.earlier) WHERE 100 * i >= 80 * (na + nb - i)),
+m AS (SELECT t.doc_id, t.line, t.body, len(t.w) > 0 AND (g.later IS NOT NULL OR c.f <> {'d': t.doc_id, 'l': t.line}) AS gone
+      FROM t LEFT JOIN c ON t.w = c.w LEFT JOIN g ON g.later = c.c)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(any_value(m.text), '') END AS text, CAST(coalesce(any_value(m.n), 0) AS BIGINT) AS n_lines, CAST(coalesce(any_value(m.gone), 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN (SELECT doc_id, string_agg(body, chr(10) ORDER BY line) FILTER (WHERE NOT gone) AS text, count(*) AS n, count(*) FILTER (WHERE gone) AS gone FROM m GROUP BY doc_id) m ON m.doc_id = d.doc_id
+GROUP BY d.doc_id, d.text
+""",
     "op8_ngram_jaccard_join": r"""
 WITH RECURSIVE
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

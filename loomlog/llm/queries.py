@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .crf_language import held_out, identify_languages
 from .html_tree import extract_main_text
+from .interpolated_lm import interpolated_scores
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
 from .packing import pack_documents
@@ -24,6 +25,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_scores(table(spark, sf_dir, "documents"))
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify_languages(docs, docs.where(~held_out(docs)))
@@ -56,6 +61,7 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_scoring": lm_scoring,
     "op3_language_id": language_id,
     "op4_decontamination": decontamination,
     "op5_line_dedup": line_dedup,

@@ -13,6 +13,7 @@ from .html_tree import extract_main_text
 from .interpolated_lm import interpolated_scores
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
+from .multi_index import nearest_neighbours
 from .packing import pack_documents
 from .rendezvous import shard_records
 from .wu_manber import mark_benchmark_overlap
@@ -44,6 +45,10 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id,
     "op4_decontamination": decontamination,
     "op5_line_dedup": line_dedup,
+    "op6_nearest_neighbours": nearest,
     "op7_packing": packing,
     "op8_ngram_jaccard_join": ngram_jaccard_join,
     "op9_html_extraction": html_extraction,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_repair import repair_conversations
 from .common import table
 from .crf_language import held_out, identify_languages
 from .html_tree import extract_main_text
@@ -26,6 +27,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_scores(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": chat_formatting,
     "op2_lm_scoring": lm_scoring,
     "op3_language_id": language_id,
     "op4_decontamination": decontamination,

@@ -6,7 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Every byte but digits, letters and bytes from 0x80 on ends a word; A-Z become a-z.
@@ -157,3 +157,26 @@ def _search(state: DataFrame, tables: list[Patterns], last: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([new.get(name, batch.column(col[name])) for name in names], names=names)
 
     return state.mapInArrow(run, out)
+
+
+def overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_bytes: int = BLOCK_BYTES) -> Column:
+    """Whether a text of docs has any occurrence of an item's window; null and empty texts haven't.
+
+    Only texts go to Python. Each block of search tables is a pass of its own, and stops at a text's first occurrence.
+    """
+    sc = docs.sparkSession.sparkContext
+
+    def pass_over(block: list[Patterns]) -> Column:
+        shipped = sc.broadcast(block)
+
+        @F.arrow_udf("boolean")
+        def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array([any(next(p.search(words), None) for p in shipped.value) for words in (words_of(x.as_py()) for x in batch)], pa.bool_())
+
+        return hit(F.col(text).cast("binary"))
+
+    found = F.lit(False)
+    for block in pattern_blocks(items, item_id, item_text, width, block_bytes):
+        found = found | pass_over(block)
+    return found

@@ -37,90 +37,86 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pressed(array: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
+    """Compressed, the numbers' first bytes first, then their second ones and so on: small numbers get short."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpressed(blob: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
-
-
-def ngrams(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the 1-grams to ``order``-grams that end at each token; first: tokens since its text's start, itself excluded."""
-    out, back = [tokens], tokens
-    run = tokens
-    for k in range(1, order):
-        back = np.r_[np.zeros(min(k, len(tokens)), np.uint64), tokens[:-k]] if len(tokens) > k else np.zeros(len(tokens), np.uint64)
-        back = np.where(first >= k, back, START)
-        run = mixed(run * _PAIR + back + np.uint64(k))
-        out.append(run)
-    return out
-
-
-def contexts(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray | None]:
-    """For the k-grams that end at each token: the hashes of the (k-1)-grams before it (None for k = 1).
-
-    Where all of it is before the text's start the hash is ``START``: it is counted by texts.
-    """
-    out: list[np.ndarray | None] = [None]
-    if order > 1:
-        before = ngrams(np.r_[np.zeros(min(1, len(tokens)), np.uint64), tokens[:-1]], np.maximum(first - 1, 0), order - 1)
-        out += [np.where(first == 0, START, x) for x in before]
-    return out
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
 @dataclass
 class Block:
-    """Tokens of whole texts, each with its end."""
+    """Whole texts, each with its end: distinct words' hashes, the number of each token's word, tokens of each text."""
 
-    tokens: np.ndarray
+    words: np.ndarray
+    which: np.ndarray
     sizes: np.ndarray
 
+    @classmethod
+    def of(cls, texts: list[np.ndarray]) -> Block:
+        """Words are numbered by falling count."""
+        words, which, counts = np.unique(concatenated(texts, np.uint64), return_inverse=True, return_counts=True)
+        by = np.argsort(-counts, kind="stable")
+        number = np.empty(len(by), "<u4")
+        number[by] = np.arange(len(by))
+        return cls(words[by], number[which], np.asarray([len(t) for t in texts], np.int64))
+
     @property
     def first(self) -> np.ndarray:
-        return np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        """Tokens of the same text before each token."""
+        return np.arange(len(self.which)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1-grams to ``order``-grams: distinct hashes, and each token's number among them (of the n-gram that ends there).
 
+        What is before a text's start counts as START words.
+        """
+        yield self.words, self.which
+        tokens, first = self.words[self.which], self.first
+        run = tokens
+        for k in range(1, order):
+            back = np.full(len(tokens), START)
+            inside = first >= k
+            back[inside] = tokens[np.flatnonzero(inside) - k]
+            run = mixed(run * _PAIR + back + np.uint64(k))
+            yield np.unique(run, return_inverse=True)
 
-def asked(block: Block, order: int, buckets: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order: distinct n-gram hashes by (bucket, hash), their counts, and where each bucket starts."""
-    out = []
-    for grams in ngrams(block.tokens, block.first, order):
-        hashes, counts = np.unique(grams, return_counts=True)
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        out.append((hashes[by], counts[by], np.searchsorted(bucket[by], np.arange(buckets + 1))))
-    return out
+
+def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which n-grams are asked for, by bucket, and where each bucket starts in it."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.uint32)
+    by = np.lexsort((hashes, bucket))
+    return by, np.searchsorted(bucket[by], np.arange(buckets + 1))
 
 
 class Answers:
     """Counts of a block's n-grams in the corpus: ``deleted`` without the held-out fold, or all."""
 
     def __init__(self, block: Block, order: int, buckets: int, replies: pd.DataFrame, totals: dict, deleted: bool):
-        self.order, self.totals = order, totals
-        self.n, self.v, self.texts = (totals[k] for k in (("n_less", "v_less", "texts_less") if deleted else ("n", "v", "texts")))
+        self.n, self.v, texts = (totals[k] for k in (("n_less", "v_less", "texts_less") if deleted else ("n", "v", "texts")))
         column = "less" if deleted else "counts"
-        self.tables = []
-        for k, (hashes, _, cuts) in enumerate(asked(block, order, buckets)):
+        self.counts, start = [], block.first == 0
+        self.context = [np.full(len(block.which), self.n)]
+        for k, (hashes, which) in enumerate(block.grams(order)):
+            by, cuts = dealt(hashes, buckets)
             counts = np.zeros(len(hashes), np.int64)
-            mine = replies[replies["k"] == k]
-            there = 0
+            mine, there = replies[replies["k"] == k], 0
             for bucket, blob in zip(mine["bucket"], mine[column], strict=True):
                 got = _unpressed(blob, "<u4")
                 if len(got) != cuts[bucket + 1] - cuts[bucket]:
                     raise RuntimeError("a block was not encoded as before")
-                counts[cuts[bucket] : cuts[bucket + 1]] = got
+                counts[by[cuts[bucket] : cuts[bucket + 1]]] = got
                 there += len(got)
             if there != len(hashes):
                 raise RuntimeError("counts of a block are missing")
-            by = np.argsort(hashes, kind="stable")
-            self.tables.append((hashes[by], counts[by]))
-        first = block.first
-        self.counts = [self._look(k, grams) for k, grams in enumerate(ngrams(block.tokens, first, order))]
-        self.context = [np.full(len(block.tokens), self.n), *(np.where(c == START, self.texts, self._look(k, c)) for k, c in enumerate(contexts(block.tokens, first, order)[1:]))]
-
-    def _look(self, k: int, hashes: np.ndarray) -> np.ndarray:
-        known, counts = self.tables[k]
-        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-        return np.where(known[at] == hashes, counts[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
+            counts = counts[which]
+            self.counts.append(counts)
+            # the context of the next longer n-gram is this one, a token earlier; before a text's first word: every text
+            self.context.append(np.where(start, texts, np.r_[np.zeros(min(1, len(counts)), np.int64), counts[:-1]]))
+        self.context.pop()
 
     def bucket(self) -> np.ndarray:
         """Of each token's longest context, by the power of two of its frequency."""
@@ -147,15 +143,15 @@ def _encoded(docs: DataFrame, key: str, text: str, block_tokens: int) -> DataFra
         def passed(which: bool) -> pa.RecordBatch:
             nonlocal made
             some = held[which]
-            words, index = np.unique(concatenated((x[2] for x in some), np.uint64), return_inverse=True)
+            block = Block.of([x[2] for x in some])
             row = [
                 pa.array([part + made], pa.int64()),
                 pa.array([which], pa.bool_()),
                 pa.array([[x[0] for x in some]], pa.list_(key_arrow)),
                 pa.array([np.asarray([x[1] for x in some], "<u1").tobytes()], pa.binary()),
-                pa.array([np.asarray([len(x[2]) for x in some], "<u4").tobytes()], pa.binary()),
-                pa.array([_pressed(words)], pa.binary()),
-                pa.array([_pressed(index.astype("<u4"))], pa.binary()),
+                pa.array([block.sizes.astype("<u4").tobytes()], pa.binary()),
+                pa.array([_pressed(block.words)], pa.binary()),
+                pa.array([_pressed(block.which)], pa.binary()),
             ]
             made += 1
             held[which], sizes[which] = [], 0
@@ -180,8 +176,7 @@ def _encoded(docs: DataFrame, key: str, text: str, block_tokens: int) -> DataFra
 
 
 def _block(row: dict) -> Block:
-    words = _unpressed(row["words"], "<u8")
-    return Block(words[_unpressed(row["which"], "<u4")], np.frombuffer(row["sizes"], "<u4").astype(np.int64))
+    return Block(_unpressed(row["words"], "<u8"), _unpressed(row["which"], "<u4"), np.frombuffer(row["sizes"], "<u4").astype(np.int64))
 
 
 def _requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -193,15 +188,15 @@ def _requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                 block, folds = _block(row), np.frombuffer(row["folds"], "<u1")
                 scored = np.repeat(folds == 0, block.sizes)
                 out: dict[str, list] = {n: [] for n in ("bucket", "block", "k", "hashes", "less", "counts")}
-                for k, (grams, (hashes, _, cuts)) in enumerate(zip(ngrams(block.tokens, block.first, order), asked(block, order, buckets), strict=True)):
-                    by = np.argsort(hashes, kind="stable")
-                    counts = np.zeros(len(hashes), "<u4")
-                    counts[by] = np.bincount(np.searchsorted(hashes[by], grams[~scored]), minlength=len(hashes))
+                for k, (hashes, which) in enumerate(block.grams(order)):
+                    by, cuts = dealt(hashes, buckets)
+                    counts = np.bincount(which[~scored], minlength=len(hashes)).astype("<u4")[by]
+                    hashes = hashes[by]
                     less = np.zeros_like(counts) if row["held"] else counts
                     for b in range(buckets):
                         s = slice(cuts[b], cuts[b + 1])
                         if s.start < s.stop:
-                            for n, v in (("bucket", b), ("block", row["block"]), ("k", k), ("hashes", hashes[s].tobytes()), ("less", _pressed(less[s])), ("counts", _pressed(counts[s]))):
+                            for n, v in (("bucket", b), ("block", row["block"]), ("k", k), ("hashes", _pressed(np.diff(hashes[s], prepend=np.uint64(0)))), ("less", _pressed(less[s])), ("counts", _pressed(counts[s]))):
                                 out[n].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["block"], pa.int64()), pa.array(out["k"], pa.int32()), *(pa.array(out[n], pa.binary()) for n in ("hashes", "less", "counts"))], names=list(out))
 
@@ -214,7 +209,7 @@ def _replies(requests: DataFrame) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         bucket, out = int(part["bucket"].iloc[0]), []
         for k, some in part.groupby("k"):
-            hashes = [np.frombuffer(x, "<u8") for x in some["hashes"]]
+            hashes = [np.cumsum(_unpressed(x, "<u8"), dtype=np.uint64) for x in some["hashes"]]
             known, which = np.unique(np.concatenate(hashes), return_inverse=True)
             totals = [np.bincount(which, np.concatenate([_unpressed(x, "<u4") for x in some[c]]), len(known)) for c in ("less", "counts")]
             cuts = np.cumsum([0, *map(len, hashes)])

@@ -64,10 +64,11 @@ def parse_range(text: str | None) -> tuple[int, int] | None:
 def valid_pattern(spark: SparkSession, pattern: str) -> bool:
     """Whether the engine takes the pattern: an invalid one would fail the query, where it should match nothing."""
     from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

@@ -63,12 +63,11 @@ def normalize_whitespace(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("log_id")
     trimmed = lines.withColumn("line", rtrim(F.col("line")))
     shown = F.col("line") != ""
-    marked = trimmed.withColumns({"first": F.min(F.when(shown, F.col("line_no"))).over(w), "last": F.max(F.when(shown, F.col("line_no"))).over(w), "before": F.lag("line").over(by_log())})
+    marked = trimmed.withColumns({"first": F.min(F.when(shown, F.col("line_no"))).over(w), "last": F.max(F.when(shown, F.col("line_no"))).over(w), "start": F.min("line_no").over(w), "before": F.lag("line").over(by_log())})
     inside = (F.col("line_no") > F.col("first")) & (F.col("line_no") < F.col("last"))
-    kept = renumber(marked.where(shown | (inside & (F.col("before") != ""))).select("log_id", "line_no", "line"))
     # a log without any other line is one empty line
-    empty = marked.where(F.col("first").isNull()).groupBy("log_id").agg(F.lit(0).cast("long").alias("line_no"), F.lit("").alias("line"))
-    return kept.unionByName(empty)
+    only = F.col("first").isNull() & (F.col("line_no") == F.col("start"))
+    return renumber(marked.where(shown | (inside & (F.col("before") != "")) | only).select("log_id", "line_no", "line"))
 
 
 def shorten_urls(lines: DataFrame) -> DataFrame:

@@ -91,12 +91,12 @@ def _envelope_skeleton(envelope: Column) -> Column:
 
 def _envelope_pattern(sample: Column) -> Column:
     """A pattern of the sample with holes for times, short ids, long hex numbers and bracketed levels."""
-    levels = r"\\\[(?:info|error|warn(?:ing)?|debug|notice|critical)\\\]"
+    levels = "(?:info|error|warn(?:ing)?|debug|notice|critical)"
     text = sub(sample, r"[.*+?^${}()|\[\]\\]", r"\\$0")
     text = sub(text, _STAMP, r"\\d{1,2}:\\d{2}:\\d{2}")
     text = sub(text, r"\\\$\d+", r"\\\$\\d+")
     text = sub(text, r"(?i)[a-f0-9]{12,}", "[a-f0-9]+")
-    text = sub(text, f"(?i){levels}", levels.replace("\\", "\\\\"))
+    text = sub(text, rf"(?i)\\\[{levels}\\\]", rf"\\[{levels}\\]")
     return F.concat(F.lit("^"), text)
 
 
@@ -118,37 +118,41 @@ def strip_envelope(lines: DataFrame) -> DataFrame:
 _TOKEN = rf"https?://{NS}+|\$\d+|\d+"
 
 
-def _format_run(rows: Column) -> Column:
-    """The lines of a run (an array) as one: as they are, as the first one and a note, or as a template with its values."""
-    first = F.get(rows, F.lit(0))
-    raw = F.regexp_extract_all(first, F.lit(_TOKEN), F.lit(0))
+def _formatted(runs: DataFrame) -> DataFrame:
+    """The lines of runs (an array ``rows``) as one: a single one, the first one and a note, or a template with its values.
+
+    What several expressions need is a column of its own, so that it is made once.
+    """
     clean = lambda t: F.when(t.rlike("^https?://"), sub(t, r"[.,;:]+\z", "")).otherwise(t)
-    tokens = F.transform(rows, lambda x: F.transform(F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0)), clean))
-    own = F.get(tokens, F.lit(0))
-    varying = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda p: (p >= 0) & (p < F.size(own)) & F.exists(tokens, lambda t: F.coalesce(F.get(t, p), F.lit("")) != F.get(own, p)))
-    ports = F.regexp_extract_all(first, F.lit(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}:(\d+)"), F.lit(1))
-    is_port = lambda p: F.get(own, p).rlike(r"^\d{3,5}\z") & F.array_contains(ports, F.get(own, p))
-    told = F.filter(varying, lambda p: ~is_port(p))
-    parts = F.split(sub(first, r"\r\z", ""), _TOKEN, -1)
-    kind = lambda p: F.when(F.get(own, p).rlike("^https?://"), F.lit("URL")).otherwise(F.lit("N"))
+    first = F.get("rows", F.lit(0))
+    runs = runs.withColumns({"raw": F.regexp_extract_all(first, F.lit(_TOKEN), F.lit(0)), "parts": F.split(sub(first, r"\r\z", ""), _TOKEN, -1)})
+    runs = runs.withColumn("tokens", F.transform("rows", lambda x: F.transform(F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0)), clean)))
+    runs = runs.withColumn("own", F.when(F.size("rows") > 1, F.get("tokens", F.lit(0))).otherwise(F.array().cast("array<string>")))
+    places = F.transform("own", lambda _, p: p)
+    runs = runs.withColumn("varying", F.filter(places, lambda p: F.exists("tokens", lambda t: F.coalesce(F.get(t, p), F.lit("")) != F.get("own", p))))
+    runs = runs.withColumn("ports", F.regexp_extract_all(first, F.lit(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}:(\d+)"), F.lit(1)))
+    is_port = lambda p: F.get("own", p).rlike(r"^\d{3,5}\z") & F.array_contains("ports", F.get("own", p))
+    runs = runs.withColumn("told", F.filter("varying", lambda p: ~is_port(p)))
+    kind = lambda p: F.when(F.get("own", p).rlike("^https?://"), F.lit("URL")).otherwise(F.lit("N"))
     number = lambda among, p: F.when(F.size(among) == 1, F.lit("")).otherwise(F.array_position(among, p).cast("string"))
 
-    def shown(p: Column) -> Column:
-        hole = F.when(is_port(p), F.lit("{port}")).otherwise(F.concat(F.lit("{"), kind(p), number(varying, p), F.lit("}")))
-        return F.when(F.array_contains(varying, p), hole).otherwise(F.get(raw, p))
+    def shown(raw: Column, p: Column) -> Column:
+        hole = F.when(is_port(p), F.lit("{port}")).otherwise(F.concat(F.lit("{"), kind(p), number("varying", p), F.lit("}")))
+        return F.concat(F.when(F.array_contains("varying", p), hole).otherwise(raw), F.get("parts", p + 1))
 
-    template = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(raw, lambda _, p: F.concat(shown(p), F.get(parts, p + 1))), ""))
-    values = F.transform(told, lambda p: F.concat(F.lit(" | "), kind(p), number(told, p), F.lit(" = "), F.array_join(F.transform(tokens, lambda t: F.coalesce(F.get(t, p), F.lit(""))), ", ")))
-    size = F.size(rows)
-    identical = F.concat(first, F.lit("\n[... "), (size - 1).cast("string"), F.lit(" identical lines omitted ...]"))
-    return F.when(size == 1, first).when((F.size(own) == 0) | (F.size(varying) == 0), identical).otherwise(F.concat(F.lit("[x"), size.cast("string"), F.lit("] "), template, F.array_join(values, "")))
+    runs = runs.withColumn("template", F.concat(F.get("parts", F.lit(0)), F.array_join(F.transform("raw", shown), "")))
+    values = F.transform("told", lambda p: F.concat(F.lit(" | "), kind(p), number("told", p), F.lit(" = "), F.array_join(F.transform("tokens", lambda t: F.coalesce(F.get(t, p), F.lit(""))), ", ")))
+    size = F.size("rows").cast("string")
+    identical = F.concat(first, F.lit("\n[... "), (F.size("rows") - 1).cast("string"), F.lit(" identical lines omitted ...]"))
+    text = F.when(F.size("rows") == 1, first).when(F.size("varying") == 0, identical).otherwise(F.concat(F.lit("[x"), size, F.lit("] "), "template", F.array_join(values, "")))
+    return runs.select("log_id", "line_no", text.alias("line"))
 
 
 def collapse_runs(lines: DataFrame) -> DataFrame:
     """Runs of lines with one skeleton as one line each (which may hold a line feed); line_no is the run's first."""
-    key = scrub.skeleton(F.col("line"))
-    runs = runs_of(mark_runs(lines, key, key != ""), in_order("line").alias("rows"))
-    return runs.select("log_id", "line_no", F.when(F.col("n") == 1, F.get("rows", F.lit(0))).otherwise(_format_run(F.col("rows"))).alias("line"))
+    lines = lines.withColumn("skeleton", scrub.skeleton(F.col("line")))
+    marked = mark_runs(lines, F.col("skeleton"), F.col("skeleton") != "")
+    return _formatted(runs_of(marked, in_order("line").alias("rows")))
 
 
 def merge_error_suffixes(lines: DataFrame) -> DataFrame:

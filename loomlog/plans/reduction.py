@@ -12,25 +12,31 @@ from pyspark.sql import functions as F
 from ..functions.text import char_count, token_count
 from ..operators import line_rules, sequential, whole_log
 from ..operators.focus import Focus, apply_focus
+from ..sources.lineage import frozen
 
 
 @dataclass(frozen=True)
 class Step:
-    """A named reduction of lines; the name is also its switch."""
+    """A named reduction of lines; the name is also its switch. ``rereads``: its plan reads its input more than once."""
 
     name: str
     title: str
     apply: Callable[[DataFrame], DataFrame]
+    rereads: bool = False
+
+    def __call__(self, lines: DataFrame) -> DataFrame:
+        """Apply it; what is read more than once is cut first, or all steps before would run as often."""
+        return self.apply(frozen(lines) if self.rereads else lines)
 
 
 #: All reductions, in the order in which they are applied.
 STEPS = (
     Step("stripAnsi", "Strip ANSI", line_rules.strip_ansi),
     Step("normalizeWhitespace", "Normalize Whitespace", line_rules.normalize_whitespace),
-    Step("shortenIds", "Shorten IDs", whole_log.shorten_ids),
+    Step("shortenIds", "Shorten IDs", whole_log.shorten_ids, rereads=True),
     Step("shortenUrls", "Shorten URLs", line_rules.shorten_urls),
     Step("simplifyTimestamps", "Simplify Timestamps", line_rules.simplify_timestamps),
-    Step("stripEnvelope", "Strip Envelope", whole_log.strip_envelope),
+    Step("stripEnvelope", "Strip Envelope", whole_log.strip_envelope, rereads=True),
     Step("filterNoise", "Filter Noise", line_rules.filter_noise),
     Step("stripSourceLocations", "Strip Source Locations", line_rules.strip_source_locations),
     Step("collapseTestStatus", "Collapse Test Status", line_rules.collapse_test_status),
@@ -38,7 +44,7 @@ STEPS = (
     Step("collapseDockerLayers", "Collapse Docker Layers", line_rules.collapse_docker_layers),
     Step("compactAccessLogs", "Compact HTTP Access Logs", line_rules.compact_access_logs),
     Step("compressPrefix", "Compress Prefix", line_rules.compress_prefix),
-    Step("deduplicateLines", "Deduplicate Lines", whole_log.deduplicate_lines),
+    Step("deduplicateLines", "Deduplicate Lines", whole_log.deduplicate_lines, rereads=True),
     Step("detectCycles", "Detect Cycles", sequential.collapse_cycles),
     Step("mergeScattered", "Merge Scattered Duplicates", line_rules.merge_scattered),
     Step("foldRepeatedPrefix", "Fold Repeated Prefix", sequential.fold_repeated_prefix),
@@ -58,8 +64,8 @@ def chosen(switches: dict[str, bool] | None = None) -> list[Step]:
 
 def reduce_lines(lines: DataFrame, switches: dict[str, bool] | None = None, focus: Focus | None = None) -> DataFrame:
     """Apply the steps that are on, then the focus query if it asks for anything."""
-    out = fold(lambda df, step: step.apply(df), chosen(switches), lines)
-    return apply_focus(out, focus) if focus and focus.active else out
+    out = fold(lambda df, step: step(df), chosen(switches), lines)
+    return apply_focus(frozen(out), focus) if focus and focus.active else out
 
 
 def measures(lines: DataFrame) -> DataFrame:
@@ -74,10 +80,10 @@ def step_measures(lines: DataFrame, switches: dict[str, bool] | None = None) ->
     Step 0 of the result is the total. Saved is the share of tokens that went, in percent to one decimal; null of nothing.
     """
     steps = chosen(switches)
-    stages = [measures(lines).withColumn("step_no", F.lit(0))]
-    now = lines
+    now = frozen(lines)
+    stages = [measures(now).withColumn("step_no", F.lit(0))]
     for i, step in enumerate(steps, 1):
-        now = step.apply(now)
+        now = frozen(step.apply(now))
         stages.append(measures(now).withColumn("step_no", F.lit(i)))
     every = fold(DataFrame.unionByName, stages)
     cols = ("tokens", "lines", "chars")

@@ -15,7 +15,7 @@ from ..operators.gate import Request, respond
 from ..operators.runs import mark_runs, runs_of
 from ..sources.lines import head, join_lines, rewrite_logs, split_lines, tail
 from .corpora import DOCUMENT_SQL, EVENT_SQL, RICH_SQL, SHIPPED_SQL, document_lines, event_lines, rich_lines, shipped_lines
-from .reduction import reduce_lines, signal_ratio, step_measures
+from .reduction import reduce_lines, scoring_sample, signal_ratio, step_measures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +86,8 @@ over("tail_then_head", event_lines, lambda x: head(tail(x, 20), 5), _dense(f"SEL
 over("texts_round_trip", document_lines, join_lines, "SELECT doc_id AS log_id, text FROM documents WHERE text IS NOT NULL")
 over("signal_ratio", event_lines, lambda x: signal_ratio(x, r"ERROR|WARNING"), f"SELECT log_id, CAST(sum(CASE WHEN regexp_matches(line, 'ERROR|WARNING') THEN {_TOKENS} ELSE 0 END) AS BIGINT) AS signal_tokens, CAST(sum({_TOKENS}) AS BIGINT) AS tokens, sum(CASE WHEN regexp_matches(line, 'ERROR|WARNING') THEN {_TOKENS} ELSE 0 END) / sum({_TOKENS}) AS ratio FROM {EVENT_SQL} GROUP BY log_id")
 
+over("scoring_sample", event_lines, lambda x: scoring_sample(x, 6, 3), _dense(f"SELECT log_id, line_no, sub, CASE WHEN sub = 0 THEN line ELSE '[... ' || (size - 9) || ' lines omitted ...]' END AS line FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_no) AS place, count(*) OVER (PARTITION BY log_id) AS size FROM {EVENT_SQL}), (SELECT unnest([0, 1]) AS sub) WHERE (sub = 0 AND (size <= 9 OR place <= 6 OR place > size - 3)) OR (sub = 1 AND size > 9 AND place = 6)", "line_no, sub"))
+
 # Steps that look at a line --------------------------------------------------------------------------------------------
 
 over("strip_ansi", rich_lines, line_rules.strip_ansi, rf"SELECT log_id, line_no, regexp_replace(regexp_replace(line, '[\x1b\x{{9b}}][\[()#;?]*(?:[0-9]{{1,4}}(?:;[0-9]{{0,4}})*)?[0-9A-ORZcf-nq-uy=><~]', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g') AS line FROM {RICH_SQL}")

@@ -8,11 +8,13 @@ from functools import reduce as fold
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import char_count, token_count
 from ..operators import line_rules, sequential, whole_log
 from ..operators.focus import Focus, apply_focus
 from ..sources.lineage import frozen
+from ..sources.lines import renumber
 
 
 @dataclass(frozen=True)
@@ -103,3 +105,24 @@ def signal_ratio(lines: DataFrame, pattern: str) -> DataFrame:
     tokens = token_count(F.col("line"))
     sums = lines.groupBy("log_id").agg(F.sum(F.when(F.col("line").rlike(pattern), tokens).otherwise(0)).alias("signal_tokens"), F.sum(tokens).alias("tokens"))
     return sums.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("signal_tokens") / F.col("tokens")).otherwise(0.0))
+
+
+def scoring_sample(lines: DataFrame, front: int = 200, back: int = 50) -> DataFrame:
+    """What an outside judge is shown of a log: all of it, or its first and last lines around a note of how many are left out."""
+    w = Window.partitionBy("log_id").orderBy("line_no")
+    rows = lines.withColumns({"place": F.row_number().over(w), "size": F.count(F.lit(1)).over(Window.partitionBy("log_id"))})
+    rows = rows.where((F.col("size") <= front + back) | (F.col("place") <= front) | (F.col("place") > F.col("size") - back))
+    note = F.concat(F.lit("[... "), (F.col("size") - front - back).cast("string"), F.lit(" lines omitted ...]"))
+    texts = F.array_compact(F.array(F.col("line"), F.when((F.col("place") == front) & (F.col("size") > front + back), note)))
+    return renumber(rows.select("log_id", "line_no", F.posexplode(texts).alias("sub", "text")), "line_no", "sub").select("log_id", "line_no", F.col("text").alias("line"))
+
+
+def render_measures(measured: DataFrame) -> DataFrame:
+    """(log_id, text): the measures of a log's steps as a table, the total last."""
+    cells = [F.rpad("step", 28, " ")]
+    for c in ("tokens", "lines", "chars"):
+        cells += [F.lpad(F.format_number(f"{c}_before", 0), 12, " "), F.lit(" → "), F.rpad(F.format_number(f"{c}_after", 0), 12, " ")]
+    saved = F.coalesce(F.concat(F.format_number("tokens_saved_pct", 1), F.lit("%")), F.lit("N/A"))
+    place = F.when(F.col("step_no") == 0, 1 << 20).otherwise(F.col("step_no"))
+    rows = measured.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.concat(*cells, saved).alias("text")))).alias("rows"))
+    return rows.select("log_id", F.array_join(F.transform("rows", lambda x: x["text"]), "\n").alias("text"))

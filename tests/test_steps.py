@@ -3,7 +3,7 @@ from loomlog.operators import line_rules, sequential, whole_log
 from loomlog.operators.focus import Focus, apply_focus, parse_range
 from loomlog.operators.gate import Request, respond
 from loomlog.operators.summary import summaries
-from loomlog.plans.reduction import NAMES, reduce_lines, step_measures
+from loomlog.plans.reduction import NAMES, reduce_lines, render_measures, step_measures
 from loomlog.sources.lines import from_texts, head, join_lines, read_logs, tail, write_logs
 
 
@@ -127,6 +127,8 @@ def test_reduction_switches_and_measures(spark):
     assert {r["log_id"]: r["text"] for r in join_lines(reduce_lines(lines)).collect()} == {"a": "[x2] x {N} | N = 1, 2\n\nx 3", "b": ""}
     with pytest.raises(ValueError, match="no such step"):
         reduce_lines(lines, {"nothing": True})
+    table = {r["log_id"]: r["text"] for r in render_measures(step_measures(lines, off | {"normalizeWhitespace": True})).collect()}
+    assert [row.split()[0] for row in table["a"].split("\n")] == ["Normalize", "Total"] and table["b"].endswith("N/A")
     steps = {(r["log_id"], r["step"]): r for r in step_measures(lines, off | {"normalizeWhitespace": True}).collect()}
     assert steps["a", "Total"]["lines_before"] == 5 and steps["a", "Normalize Whitespace"]["lines_after"] == 4
     assert steps["b", "Total"]["lines_before"] == 0 and steps["b", "Total"]["tokens_saved_pct"] is None

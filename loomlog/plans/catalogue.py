@@ -14,7 +14,7 @@ from ..operators.focus import Focus, annotate, apply_focus, drop_similar, hidden
 from ..operators.gate import Request, respond
 from ..operators.runs import mark_runs, runs_of
 from ..sources.lines import head, join_lines, rewrite_logs, split_lines, tail
-from .corpora import DOCUMENT_SQL, EVENT_SQL, RICH_SQL, SHIPPED_SQL, document_lines, event_lines, rich_lines, shipped_lines
+from .corpora import ALIKE_SQL, CYCLIC_SQL, DOCUMENT_SQL, EVENT_SQL, RICH_SQL, SECTION_SQL, SHIPPED_SQL, TRACE_SQL, alike_lines, cyclic_lines, document_lines, event_lines, rich_lines, section_lines, shipped_lines, trace_lines
 from .reduction import reduce_lines, scoring_sample, signal_ratio, step_measures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,12 +148,25 @@ WITH e AS (SELECT *, CASE WHEN length(x) >= 20 THEN x END AS err, trim(regexp_re
 g AS (SELECT log_id, err, count(*) AS n, max(line_no) AS last, string_agg(before, ', ' ORDER BY line_no) AS names, bool_and(before <> '') AS named FROM e WHERE err IS NOT NULL GROUP BY log_id, err HAVING count(*) >= 3)
 SELECT e.log_id, e.line_no, CASE WHEN g.n IS NULL THEN line ELSE '[x' || n || '] ' || e.err || CASE WHEN named THEN ' — ' || names ELSE '' END END AS line FROM e LEFT JOIN g ON g.log_id = e.log_id AND g.err = e.err WHERE g.n IS NULL OR e.line_no = g.last""")
 over("merge_scattered", document_lines, line_rules.merge_scattered, _dense(r"SELECT log_id, line_no, unnest(range(0, 2)) AS sub, unnest([line, CASE WHEN k IS NOT NULL AND n >= 3 THEN '[... above line repeated ' || (n - 1) || ' more times ...]' END]) AS line FROM (SELECT *, count(k) OVER (PARTITION BY log_id, k) AS n, min(line_no) OVER (PARTITION BY log_id, k) AS h FROM (SELECT *, CASE WHEN trim(line) <> '' AND NOT starts_with(trim(line), '[...') AND NOT regexp_matches(line, '^\s') AND NOT regexp_matches(line, ':\s*$') THEN trim(line) END AS k FROM " + DOCUMENT_SQL + ")) WHERE k IS NULL OR n < 3 OR line_no = h", "line_no, sub").replace("AS line FROM (SELECT", "AS line FROM (SELECT", 1).replace("line FROM (SELECT log_id, line_no, unnest", "line FROM (SELECT * FROM (SELECT log_id, line_no, unnest", 1) + " WHERE line IS NOT NULL)")
-over("deduplicate_lines", rich_lines, whole_log.deduplicate_lines)
-over("detect_cycles", rich_lines, sequential.collapse_cycles)
-over("collapse_pip_output", rich_lines, lambda x: rewrite_logs(x, _with_install))
-over("fold_repeated_prefix", rich_lines, sequential.fold_repeated_prefix)
-over("fold_stack_traces", rich_lines, sequential.fold_stack_traces)
-over("collapse_retries", rich_lines, sequential.collapse_retry_sections)
+over("deduplicate_lines", event_lines, whole_log.deduplicate_lines, _dense(f"SELECT log_id, line_no, unnest(range(1, len(string_split(line, chr(10))) + 1)) AS sub, unnest(string_split(line, chr(10))) AS line FROM ({ORACLES['run_templates']})", "line_no, sub"))
+over("deduplicate_rich_lines", rich_lines, whole_log.deduplicate_lines)
+over("detect_cycles", cyclic_lines, sequential.collapse_cycles, _dense(f"""
+SELECT log_id, pos AS line_no, 0 AS sub, line FROM (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY log_id) AS n FROM {CYCLIC_SQL} WINDOW w AS (PARTITION BY log_id ORDER BY line_no)) WHERE n < 6 OR pos < 3 OR pos >= n - n % 3
+UNION ALL SELECT log_id, 2, 1, '[... above 3-line block repeated ' || (count(*) // 3 - 1) || ' more times ...]' FROM {CYCLIC_SQL} GROUP BY log_id HAVING count(*) >= 6""", "line_no, sub"))
+over("collapse_pip_output", rich_lines, lambda x: rewrite_logs(x, _with_install), _dense(f"SELECT log_id, line_no, line FROM {RICH_SQL} UNION ALL SELECT log_id, i - 5, ['RUN pip install -r r.txt', 'pip: a==1.0', 'pip: +1 transitive deps (b>=2)', '#9 done'][i] FROM (SELECT DISTINCT log_id FROM {RICH_SQL}), (SELECT unnest([1, 2, 3, 4]) AS i)"))
+over("fold_repeated_prefix", alike_lines, sequential.fold_repeated_prefix, _dense(f"SELECT log_id, line_no, CASE WHEN line LIKE 'fetch%' AND lag(line) OVER (PARTITION BY log_id ORDER BY line_no) LIKE 'fetch%' THEN '  ' || substr(line, 20) ELSE line END AS line FROM {ALIKE_SQL}"))
+over("fold_stack_traces", trace_lines, sequential.fold_stack_traces, _dense(f"""
+WITH t AS (SELECT *, line_no % 5 AS k, sum(CASE WHEN line_no % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY line_no) AS g FROM {TRACE_SQL}),
+f AS (SELECT log_id, g, row_number() OVER (PARTITION BY log_id ORDER BY g) > 1 AS again FROM t GROUP BY log_id, g HAVING count(*) FILTER (WHERE k IN (2, 3)) = 2)
+SELECT t.log_id, line_no, CASE WHEN coalesce(again, false) AND k = 3 THEN '  [... duplicate traceback omitted ...]' WHEN k = 1 THEN '  [... 1 framework frames (uvicorn) omitted ...]' WHEN k = 2 THEN '  File "app.py", line 2' ELSE line END AS line
+FROM t LEFT JOIN f ON f.log_id = t.log_id AND f.g = t.g WHERE k NOT IN (1, 2) OR NOT coalesce(again, false)"""))
+over("collapse_retries", section_lines, sequential.collapse_retry_sections, _dense(f"""
+WITH t AS (SELECT *, count(*) OVER (PARTITION BY log_id, g) AS size FROM (SELECT *, sum(CASE WHEN line LIKE '==>%' THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY line_no) AS g FROM {SECTION_SQL})),
+b AS (SELECT log_id, min(g) AS base, max(g) AS last, count(DISTINCT g) - 1 AS again FROM t WHERE size >= 5 GROUP BY log_id),
+e AS (SELECT t.log_id, max(line_no) AS stop, bool_or(line LIKE '==>%') AS headed, any_value(again) AS again, any_value(last) AS last FROM t JOIN b ON b.log_id = t.log_id AND b.base = t.g GROUP BY t.log_id)
+SELECT t.log_id, line_no, 0 AS sub, line FROM t LEFT JOIN b ON b.log_id = t.log_id WHERE size < 5 OR g = base
+UNION ALL SELECT log_id, stop, 1, '[... ' || again || CASE WHEN again = 1 THEN ' similar retry' ELSE ' similar retries' END || ' omitted ...]' FROM e WHERE again > 0
+UNION ALL SELECT t.log_id, stop, 2, line FROM t JOIN e ON e.log_id = t.log_id AND t.g = e.last WHERE again > 0 AND NOT headed AND line LIKE '==>%'""", "line_no, sub"))
 
 
 def _with_install(lines):  # noqa: ANN001, ANN202

@@ -240,7 +240,7 @@ def gate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return respond(event_lines(spark, sf_dir), Request(focus=Focus(level="error", limit=3), reduce=False, threshold=40))
 
 
-@query("conversation_logs", r"SELECT conv_id AS log_id, count(*) AS n, sum(len(regexp_extract_all(text, '\S+'))) AS tokens FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+@query("conversation_logs", r"SELECT conv_id AS log_id, count(*) AS n, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS tokens FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def conversation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
     return turns.groupBy(F.col("conv_id").alias("log_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(token_count(F.col("text"))).alias("tokens"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,37 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Written:
+    """Tables written to the shared folder, compressed, and read from there; ``drop`` removes them again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+        context = spark.sparkContext._jsc.sc()
+        if not context.getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlog-checkpoint-"))
+        self.folder = context.getCheckpointDir().get()
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Remove the tables written so far; frames that read them can't be used any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        self.paths.clear()
+
+
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of finished work removed: Spark does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(key: str | Column, folds: int) -> Column:
     """crc32 of the key's text, modulo ``folds`` (null keys hash as the text ``null``)."""
     key = F.col(key) if isinstance(key, str) else key

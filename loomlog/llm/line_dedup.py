@@ -5,22 +5,26 @@ A line's tokens are what spaces separate (other white space counts as a space).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
 
-from .common import frozen, parallelism
+from .common import Written, frozen, parallelism, release
 
 #: Similarity, as a fraction: 100 * intersection >= 80 * union.
 SIMILAR = (80, 100)
-#: Counters of token frequencies, one byte each.
+#: Counters of token frequencies, eight bytes each.
 COUNTERS = 1 << 18
 #: Rows of ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Codes of rarity: printable characters from "!" on.
-_CODES, _FIRST_CODE = 90, 33
+#: Parts in which the last candidates are checked: only one part's token sets are on disk at a time.
+SLICES = 6
+#: The largest rarity code: it stays below the sign of a number.
+MOST_CODE = 127
 
 
 def trimmed(line: Column) -> Column:
@@ -34,7 +38,7 @@ def tokens(line: Column) -> Column:
 
 
 def _counter(token_hash: Column) -> Column:
-    return F.pmod(token_hash, F.lit(COUNTERS)).cast("int")
+    return token_hash.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
 
 
 def trimmed_lines(docs: DataFrame, text: str, *others: Column) -> DataFrame:
@@ -44,29 +48,28 @@ def trimmed_lines(docs: DataFrame, text: str, *others: Column) -> DataFrame:
 
 
 def rarity_codes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row (codes binary): the logarithm of each counter's tokens in all texts, one character each.
+    """One row (codes array<long>): the logarithm of each counter's tokens in all texts, in the highest byte of a number.
 
     It orders tokens by how often they occur; tokens with one counter share a code. Its size is the same for any input.
     """
     words = trimmed_lines(docs, text).select(F.explode(tokens(F.col("body"))).alias("w"))
     counts = words.groupBy(_counter(F.xxhash64("w")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    code = F.char((F.least(F.floor(F.log2(F.col("n") + 1) * 2.5), F.lit(_CODES - 1)) + _FIRST_CODE).cast("int"))
-    every = docs.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("c")).join(counts, "c", "left").select("c", F.coalesce(code, F.char(F.lit(_FIRST_CODE))).alias("code"))
+    code = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 2.5), F.lit(MOST_CODE)).cast("long")
+    every = docs.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("c")).join(counts, "c", "left").select("c", F.shiftleft(code, 56).alias("code"))
     # as many rows as there are counters: parts of 1,024 in order, then the parts in order
-    parts = every.groupBy(F.shiftright("c", 10).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "code"))), lambda x: x["code"]), "").alias("codes"))
-    return frozen(parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "codes"))), lambda x: x["codes"]), "").cast("binary").alias("codes")))
+    parts = every.groupBy(F.shiftright("c", 10).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "code"))), lambda x: x["code"]).alias("codes"))
+    return frozen(parts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "codes"))), lambda x: x["codes"])).alias("codes")))
 
 
 def with_token_keys(lines: DataFrame, codes: DataFrame) -> DataFrame:
     """lines with ``keys`` for ``body``: its distinct tokens as numbers, the rarest first (rarity code, 56 bits of hash)."""
 
-    def key(token: Column) -> Column:
-        h = F.xxhash64(token)
-        code = F.ascii(F.substr(F.col("codes"), _counter(h) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(code.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def key(h: Column) -> Column:
+        return F.get("codes", _counter(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     # the codes are one value of the plan (a scalar subquery), not a column that rows carry: the optimizer puts it in place
-    return lines.withColumn("codes", codes.scalar()).withColumn("keys", F.sort_array(F.array_distinct(F.transform(tokens(F.col("body")), key)))).drop("body", "codes")
+    hashes = F.array_distinct(F.transform(tokens(F.col("body")), lambda t: F.xxhash64(t)))
+    return lines.withColumn("codes", codes.scalar()).withColumn("keys", F.sort_array(F.transform(hashes, key))).drop("body", "codes")
 
 
 def _place(key: Column, line: Column, integral: bool) -> Column:
@@ -98,60 +101,96 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     """(key, lines): the numbers, from 0, of each document's lines that match an earlier line; without lines, no row.
 
     Lines match if the Jaccard similarity of their sets of tokens is at least ``similar``; (key, number) is their order,
-    null keys first. Rows with one key are taken for one document: lines at one place there have one place in the order, and
-    of different ones the one with the smaller hash counts as earlier.
+    null keys first. Rows with one key are taken for one document: lines with one number there are at one place, and aren't
+    matched with each other.
+    """
+    spark = docs.sparkSession
+    codes = rarity_codes(docs, text)
+    written = Written(spark)
+    classes, lines = _described(docs, key, text, codes, similar, written)
+    release(spark)
+    gone = _with_earlier_match(docs, key, text, codes, classes, similar).withColumn("gone", F.lit(True))
+    release(spark)
+    judged = frozen(classes.select("cls", "first", "copies").join(gone, "cls", "left").where("copies > 1 or gone").select("cls", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
+    del classes, gone
+    release(spark)
+    out = lines.join(judged, "cls").where(F.col("gone") | (F.struct("key", "line") != F.col("first")))
+    out = frozen(out.groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("lines")))
+    del lines, judged
+    written.drop()
+    release(spark)
+    return out
+
+
+def _described(docs: DataFrame, key: str, text: str, codes: DataFrame, similar: tuple[int, int], written: Written) -> tuple[DataFrame, DataFrame]:
+    """Classes of lines with equal sets (cls, first, copies, n, bits, prefix, who, place), and lines (key, line, cls).
+
+    ``who`` stands for a class: it tells where it occurs first.
     """
     part, whole = similar
-    buckets = parallelism(docs)
     integral = isinstance(docs.schema[key].dataType, IntegralType)
-    codes = rarity_codes(docs, text)
-    keyed = with_token_keys(trimmed_lines(docs, text, F.col(key).alias("key")), codes)
     size = F.size("keys")
-    described = keyed.select(
+    described = with_token_keys(trimmed_lines(docs, text, F.col(key).alias("key")), codes).select(
         "key", "line", F.xxhash64("keys").alias("cls"), size.alias("n"),
         F.slice("keys", 1, size - F.ceil(size * part / F.lit(float(whole)) - 1e-9).cast("int") + 1).alias("prefix"),
         F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    # equal sets are one class, combined before they are shuffled
+    # combined before they are shuffled: a line that is everywhere arrives as a few rows a task
     classes = described.groupBy("cls").agg(F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    posted = classes.select("cls", "n", "bits", _place(F.col("first.key"), F.col("first.line").cast("long"), integral).alias("place"), F.posexplode("prefix").alias("pos", "token"))
+    place = _place(F.col("first.key"), F.col("first.line").cast("long"), integral)
+    who = place if integral else F.xxhash64("first.key", "first.line")
+    classes = written(classes.select("cls", "first", "copies", "n", "bits", "prefix", who.alias("who"), place.alias("place")))
+    lines = written(described.select("key", "line", "cls"))
+    described.unpersist()
+    return classes, lines
+
+
+def _with_earlier_match(docs: DataFrame, key: str, text: str, codes: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(cls): classes that match one that occurs first at an earlier place."""
+    part, whole = similar
+    integral = isinstance(docs.schema[key].dataType, IntegralType)
+    posted = classes.select("who", *([] if integral else ["place"]), "bits", "n", F.posexplode("prefix").alias("pos", "token"))
     # one shuffle by token serves both searches
-    postings = posted.repartition(buckets, "token").sortWithinPartitions("token", "place").persist(StorageLevel.MEMORY_AND_DISK)
-    slim = classes.select("cls", "first", "copies")
-
-    def matches(pairs: DataFrame) -> DataFrame:
-        """(cls): classes with an earlier match among the (x, y) pairs."""
-        pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
-        wanted = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct().join(slim.select("cls", "first"), "cls").persist(StorageLevel.MEMORY_AND_DISK)
-        owners = wanted.select(F.col("first.key").alias("key"), F.col("first.key").isNull().alias("none")).distinct().select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("owner"), "none")
-        texts = _in(docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("owner"), F.col(key).isNull().alias("none"), F.col(text).alias("text")), owners, ["owner", "none"], "left_semi")
-        bodies = with_token_keys(trimmed_lines(texts, "text"), codes).select(F.xxhash64("keys").alias("cls"), "keys")
-        sets = _in(bodies, wanted.select("cls"), ["cls"], "left_semi").groupBy("cls").agg(F.first("keys").alias("keys"))
-        sets = sets.join(wanted, "cls")
-        left = sets.select(F.col("cls").alias("x"), F.col("keys").alias("a"), F.col("first").alias("fa"))
-        right = sets.select(F.col("cls").alias("y"), F.col("keys").alias("b"), F.col("first").alias("fb"))
+    order = "who" if integral else "place"
+    postings = posted.repartition(parallelism(docs), "token").sortWithinPartitions("token", order).persist(StorageLevel.MEMORY_AND_DISK)
+    slim = classes.select("who", "cls", "first")
+    part_tables = Written(docs.sparkSession)
+
+    def matches(pairs: DataFrame, slices: int) -> DataFrame:
+        """(who, cls): classes with an earlier match among the (x, y) pairs, which are checked slice after slice."""
+        pairs = frozen(pairs)
+        wanted = frozen(pairs.select(F.col("x").alias("who")).unionByName(pairs.select(F.col("y").alias("who"))).distinct().join(slim, "who"))
+        owner, none = (lambda c: F.coalesce(c.cast("string"), F.lit(""))), (lambda c: c.isNull())
+        asked = wanted.select(owner(F.col("first.key")).alias("owner"), none(F.col("first.key")).alias("none"), F.col("first.line").alias("line"))
+        texts = _in(docs.select(owner(F.col(key)).alias("owner"), none(F.col(key)).alias("none"), F.col(text).alias("text")), asked.select("owner", "none").distinct(), ["owner", "none"], "left_semi")
+        # only the lines asked for are taken apart
+        bodies = _in(trimmed_lines(texts, "text", F.col("owner"), F.col("none")), asked.distinct(), ["owner", "none", "line"], "left_semi").select("body")
+        sets = with_token_keys(bodies, codes).select(F.xxhash64("keys").alias("cls"), "keys").groupBy("cls").agg(F.first("keys").alias("keys")).join(wanted, "cls")
+        sets = part_tables(sets)
+        left = sets.select(F.col("who").alias("x"), F.col("cls").alias("cx"), F.col("keys").alias("a"), F.col("first").alias("fa"))
+        right = sets.select(F.col("who").alias("y"), F.col("cls").alias("cy"), F.col("keys").alias("b"), F.col("first").alias("fb"))
         both = F.size(F.array_intersect("a", "b"))
-        checked = pairs.join(left, "x").join(right, "y").where(both * whole >= (F.size("a") + F.size("b") - both) * part)
-        later = (F.col("fa") > F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("x") > F.col("y")))
-        out = checked.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("cls")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-        out.count()
-        pairs.unpersist()
-        wanted.unpersist()
-        return out
+        later = F.col("fa") > F.col("fb")
+        found = []
+        for i in range(slices):
+            mine = F.pmod(F.xxhash64("x"), F.lit(slices)) == i
+            checked = pairs.where(mine).join(left.where(mine), "x").join(right, "y").where((both * whole >= (F.size("a") + F.size("b") - both) * part) & (F.col("fa") != F.col("fb")))
+            found.append(frozen(checked.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("who"), F.when(later, F.col("cx")).otherwise(F.col("cy")).alias("cls")).distinct()))
+            release(docs.sparkSession)
+        part_tables.drop()
+        return reduce(DataFrame.unionByName, found).distinct()
 
     # first each class against the earliest one of each of its tokens: in a large group of near copies, that settles most
-    by_token = Window.partitionBy("token").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leader = F.first(F.struct("cls", "n", "pos", "bits")).over(by_token)
-    led = postings.select("cls", "n", "pos", "bits", leader.alias("o")).where((F.col("o.cls") != F.col("cls")) & _could_match(F.col("n"), F.col("pos"), F.col("bits"), F.col("o.n"), F.col("o.pos"), F.col("o.bits"), similar))
-    settled = matches(led.select(F.col("cls").alias("x"), F.col("o.cls").alias("y")).distinct())
+    by_token = Window.partitionBy("token").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    leader = F.first(F.struct("who", "n", "pos", "bits")).over(by_token)
+    led = postings.select("who", "n", "pos", "bits", leader.alias("o")).where((F.col("o.who") != F.col("who")) & _could_match(F.col("n"), F.col("pos"), F.col("bits"), F.col("o.n"), F.col("o.pos"), F.col("o.bits"), similar))
+    settled = matches(led.select(F.col("who").alias("x"), F.col("o.who").alias("y")).distinct(), 1)
     # then those that are left against all earlier ones
-    mine = _in(postings, settled, ["cls"], "left_anti").select("token", *[F.col(c).alias(f"m_{c}") for c in ("cls", "n", "pos", "bits", "place")])
-    met = mine.join(postings, "token").where((F.col("place") <= F.col("m_place")) & (F.col("cls") != F.col("m_cls")) & _could_match(F.col("m_n"), F.col("m_pos"), F.col("m_bits"), F.col("n"), F.col("pos"), F.col("bits"), similar))
-    rest = matches(met.select(F.col("m_cls").alias("x"), F.col("cls").alias("y")).distinct())
-    gone = settled.unionByName(rest).distinct().withColumn("gone", F.lit(True))
-    judged = slim.join(gone, "cls", "left").where("copies > 1 or gone").select("cls", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = described.select("key", "line", "cls").join(judged, "cls").where(F.col("gone") | (F.struct("key", "line") != F.col("first")))
-    return out.groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    mine = _in(postings, settled.select("who"), ["who"], "left_anti").select("token", *[F.col(c).alias(f"m_{c}") for c in dict.fromkeys(("who", "n", "pos", "bits", order))])
+    met = mine.join(postings, "token").where((F.col(order) <= F.col(f"m_{order}")) & (F.col("who") != F.col("m_who")) & _could_match(F.col("m_n"), F.col("m_pos"), F.col("m_bits"), F.col("n"), F.col("pos"), F.col("bits"), similar))
+    rest = matches(met.select(F.col("m_who").alias("x"), F.col("who").alias("y")).distinct(), SLICES)
+    postings.unpersist()
+    return settled.unionByName(rest).select("cls").distinct()
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import string
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,8 +24,8 @@ SEQUENCES, PART = 8_000, (3, 18)
 LEXICON = 400
 #: Letters of a word that n-grams see; a longer word shows its front and its end.
 WIDTH = 24
-#: Words labelled at a time, and remembered words of a worker.
-CHUNK_WORDS, REMEMBER = 400_000, 400_000
+#: Words labelled at a time, and remembered words of a task.
+CHUNK_WORDS, REMEMBER = 150_000, 300_000
 
 _EDGES = string.punctuation + string.digits + "«»“”„‘’…–—¿¡"
 
@@ -69,8 +68,8 @@ def features(words: list[str]) -> np.ndarray:
 def emissions(model: Model, words: list[str]) -> np.ndarray:
     """Scores of each language for each word's core; a word without letters favours none."""
     out = np.zeros((len(words), len(model.languages)))
-    for at in range(0, len(words), 50_000):
-        part = words[at : at + 50_000]
+    for at in range(0, len(words), 20_000):
+        part = words[at : at + 20_000]
         cores = [core(w) for w in part]
         index = features(cores)
         there = index >= 0
@@ -230,7 +229,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", documents: in
 
 
 class Labeller:
-    """Marginals of whole texts; scores of words are remembered within a worker."""
+    """Marginals of whole texts; scores of words are remembered within a task."""
 
     def __init__(self, model: Model):
         self.model, self.number = model, {}
@@ -288,9 +287,6 @@ class Labeller:
         known += np.bincount(owner, lettered, len(sums))
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def language_column(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
     """struct(lang_pred, score): the language with the most words in expectation, and its share of them (0 to 1).
 
@@ -300,14 +296,10 @@ def language_column(docs: DataFrame, model: Model | None, text: str = "text") ->
     if model is None:
         return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    key = uuid.uuid4().hex
 
     @F.arrow_udf("lang_pred string, score double")
     def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if key not in _LABELLERS:
-            _LABELLERS.clear()
-            _LABELLERS[key] = Labeller(shipped.value)
-        labeller = _LABELLERS[key]
+        labeller = Labeller(shipped.value)  # what it remembers goes with the task
         for batch in batches:
             sums, known = labeller.texts(batch.to_pylist())
             best = sums.argmax(1) if len(sums) else np.zeros(0, int)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, frozen, parallelism
-from .shingles import concatenated, mixed, word_hashes
+from .shingles import concatenated, forget, mixed, word_hashes
 
 #: The longest n-gram.
 ORDER = 2
@@ -168,6 +168,7 @@ def _encoded(docs: DataFrame, key: str, text: str, block_tokens: int) -> DataFra
                 sizes[which] += len(tokens)
                 if sizes[which] >= block_tokens:
                     yield passed(which)
+        forget()
         for which in (True, False):
             if held[which]:
                 yield passed(which)

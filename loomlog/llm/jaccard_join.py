@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import frozen, parallelism
 from .components import connected_components
-from .shingles import as_set_key, concatenated, shingle_set
+from .shingles import as_set_key, concatenated, forget, shingle_set
 
 #: Similarity, as a fraction: 100 * intersection >= 80 * union.
 SIMILAR = (80, 100)
@@ -164,6 +164,7 @@ def _described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     add()
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["key", "cls", "n", "slice", "counts"])
+        forget()
         if pending:
             add()
         if counts is not None:
@@ -265,6 +266,7 @@ def _cell_edges(docs: DataFrame, text: str, codes: np.ndarray, width: int, simil
                     if held >= HELD:
                         yield passed()
                         held = 0
+        forget()
         if held:
             yield passed()
 
@@ -357,6 +359,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             keep = [i for i, (s, c) in enumerate(zip(found, batch.column(0).to_pylist(), strict=True)) if as_set_key(s) == c]  # others share the key only
             picked = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*picked.columns[:6], pa.array([found[i].tobytes() for i in keep], pa.binary())], names=["cls", "cell", "copies", "n", "blocks", "block", "shingles"])
+        forget()
 
     sets = fetched.mapInArrow(hashed, "cls long, cell long, copies long, n long, blocks long, block int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other")

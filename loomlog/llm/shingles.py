@@ -22,6 +22,11 @@ _WORDS = _Words()
 _REMEMBER = 500_000
 
 
+def forget() -> None:
+    """Give back what was remembered; called at the end of a task, as its worker may serve other work."""
+    _WORDS.clear()
+
+
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words (parts between the six ASCII white-space characters) of a text, A-Z in lower case."""
     if len(_WORDS) > _REMEMBER:

@@ -97,12 +97,16 @@ def _in(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
+def document(key: str, text: str) -> Column:
+    """A row's identity: a hash of its key and its text. Rows with one key and different texts are documents of their own."""
+    return F.xxhash64(key, text)
+
+
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(key, lines): the numbers, from 0, of each document's lines that match an earlier line; without lines, no row.
+    """(doc, lines): the numbers, from 0, of each ``document``'s lines that match an earlier line; without lines, no row.
 
-    Lines match if the Jaccard similarity of their sets of tokens is at least ``similar``; (key, number) is their order,
-    null keys first. Rows with one key are taken for one document: lines with one number there are at one place, and aren't
-    matched with each other.
+    Lines match if the Jaccard similarity of their sets of tokens is at least ``similar``; (key, document, number) is their
+    order, null keys first. Rows with one key and one text are one document here.
     """
     spark = docs.sparkSession
     codes = rarity_codes(docs, text)
@@ -114,8 +118,8 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     judged = frozen(classes.select("cls", "first", "copies").join(gone, "cls", "left").where("copies > 1 or gone").select("cls", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
     del classes, gone
     release(spark)
-    out = lines.join(judged, "cls").where(F.col("gone") | (F.struct("key", "line") != F.col("first")))
-    out = frozen(out.groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("lines")))
+    out = lines.join(judged, "cls").where(F.col("gone") | (F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line")))
+    out = frozen(out.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines")))
     del lines, judged
     written.drop()
     release(spark)
@@ -123,24 +127,24 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
 
 
 def _described(docs: DataFrame, key: str, text: str, codes: DataFrame, similar: tuple[int, int], written: Written) -> tuple[DataFrame, DataFrame]:
-    """Classes of lines with equal sets (cls, first, copies, n, bits, prefix, who, place), and lines (key, line, cls).
+    """Classes of lines with equal sets (cls, first, copies, n, bits, prefix, who, place), and lines (doc, line, cls).
 
     ``who`` stands for a class: it tells where it occurs first.
     """
     part, whole = similar
     integral = isinstance(docs.schema[key].dataType, IntegralType)
     size = F.size("keys")
-    described = with_token_keys(trimmed_lines(docs, text, F.col(key).alias("key")), codes).select(
-        "key", "line", F.xxhash64("keys").alias("cls"), size.alias("n"),
+    described = with_token_keys(trimmed_lines(docs, text, F.col(key).alias("key"), document(key, text).alias("doc")), codes).select(
+        "key", "doc", "line", F.xxhash64("keys").alias("cls"), size.alias("n"),
         F.slice("keys", 1, size - F.ceil(size * part / F.lit(float(whole)) - 1e-9).cast("int") + 1).alias("prefix"),
         F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
     # combined before they are shuffled: a line that is everywhere arrives as a few rows a task
-    classes = described.groupBy("cls").agg(F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    classes = described.groupBy("cls").agg(F.min(F.struct("key", "doc", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     place = _place(F.col("first.key"), F.col("first.line").cast("long"), integral)
-    who = place if integral else F.xxhash64("first.key", "first.line")
+    who = place if integral else F.xxhash64("first.doc", "first.line")
     classes = written(classes.select("cls", "first", "copies", "n", "bits", "prefix", who.alias("who"), place.alias("place")))
-    lines = written(described.select("key", "line", "cls"))
+    lines = written(described.select("doc", "line", "cls"))
     described.unpersist()
     return classes, lines
 
@@ -160,11 +164,10 @@ def _with_earlier_match(docs: DataFrame, key: str, text: str, codes: DataFrame,
         """(who, cls): classes with an earlier match among the (x, y) pairs, which are checked slice after slice."""
         pairs = frozen(pairs)
         wanted = frozen(pairs.select(F.col("x").alias("who")).unionByName(pairs.select(F.col("y").alias("who"))).distinct().join(slim, "who"))
-        owner, none = (lambda c: F.coalesce(c.cast("string"), F.lit(""))), (lambda c: c.isNull())
-        asked = wanted.select(owner(F.col("first.key")).alias("owner"), none(F.col("first.key")).alias("none"), F.col("first.line").alias("line"))
-        texts = _in(docs.select(owner(F.col(key)).alias("owner"), none(F.col(key)).alias("none"), F.col(text).alias("text")), asked.select("owner", "none").distinct(), ["owner", "none"], "left_semi")
+        asked = wanted.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
+        texts = _in(docs.select(document(key, text).alias("doc"), F.col(text).alias("text")), asked.select("doc").distinct(), ["doc"], "left_semi")
         # only the lines asked for are taken apart
-        bodies = _in(trimmed_lines(texts, "text", F.col("owner"), F.col("none")), asked.distinct(), ["owner", "none", "line"], "left_semi").select("body")
+        bodies = _in(trimmed_lines(texts, "text", F.col("doc")), asked.distinct(), ["doc", "line"], "left_semi").select("body")
         sets = with_token_keys(bodies, codes).select(F.xxhash64("keys").alias("cls"), "keys").groupBy("cls").agg(F.first("keys").alias("keys")).join(wanted, "cls")
         sets = part_tables(sets)
         left = sets.select(F.col("who").alias("x"), F.col("cls").alias("cx"), F.col("keys").alias("a"), F.col("first").alias("fa"))
@@ -193,18 +196,41 @@ def _with_earlier_match(docs: DataFrame, key: str, text: str, codes: DataFrame,
     return settled.unionByName(rest).select("cls").distinct()
 
 
+def _with_copies_marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with ``__copy``: whether a row without a key has a text that another such row, the first one, has too.
+
+    Only rows with such texts are numbered; they are cut first, so that each keeps its number.
+    """
+    unnamed = F.col(key).isNull() & F.col(text).isNotNull()
+    marked = docs.withColumn("__copy", F.lit(False))
+    repeated = frozen(docs.where(unnamed).groupBy(document(key, text).alias("__doc")).count().where("count > 1").select("__doc"))
+    if repeated.isEmpty():
+        return marked
+    named = docs.where(~unnamed).withColumn("__copy", F.lit(False))
+    rest = docs.where(unnamed).withColumn("__doc", document(key, text))
+    copies = frozen(_in(rest, repeated, ["__doc"], "left_semi").withColumn("__row", F.monotonically_increasing_id()))
+    first = frozen(copies.groupBy("__doc").agg(F.min("__row").alias("__row")).select("__row", F.lit(True).alias("__first")))
+    copies = copies.join(F.broadcast(first) if first.count() <= BROADCAST_IDS else first, "__row", "left").withColumn("__copy", F.col("__first").isNull())
+    rest = _in(rest, repeated, ["__doc"], "left_anti").withColumn("__copy", F.lit(False))
+    columns = [*docs.columns, "__copy"]
+    return named.unionByName(rest.select(*columns)).unionByName(copies.select(*columns))
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """docs with matching later lines taken out of ``text``, and the columns n_lines and n_removed (replacing such columns).
 
     Null texts stay null, with no lines; a text whose lines are all removed becomes empty; blank lines are kept. The lines
-    that stay are joined by line feeds, as they were. An empty table gives no rows.
+    that stay are joined by line feeds, as they were. Rows with one key and one text keep the same lines; of rows with one
+    text and no key, all but one lose all lines with tokens. An empty table gives no rows.
     """
-    gone = removed_lines(docs, key, text, similar).select(F.col("key").alias("__key"), F.col("lines").alias("__lines"))
+    gone = removed_lines(docs, key, text, similar).select(F.col("doc").alias("__doc"), F.col("lines").alias("__lines"))
     parts = F.split(F.col(text), "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lines")), lambda i: F.get(parts, i))
-    joined = docs.join(gone, docs[key].eqNullSafe(F.col("__key")), "left")
+    every = F.sequence(F.lit(0), F.size(parts) - 1)
+    marked = _with_copies_marked(docs, key, text).withColumn("__doc", document(key, text))
+    joined = marked.join(gone, "__doc", "left").withColumn("__lines", F.when(F.col("__copy"), F.filter(every, lambda i: trimmed(F.get(parts, i)) != "")).otherwise(F.col("__lines")))
+    kept = F.transform(F.array_except(every, F.col("__lines")), lambda i: F.get(parts, i))
     return joined.withColumns({
         text: F.when(F.col("__lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
         "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long"),
-        "n_removed": F.coalesce(F.size(F.array_intersect("__lines", F.sequence(F.lit(0), F.size(parts) - 1))), F.lit(0)).cast("long"),
-    }).drop("__key", "__lines")
+        "n_removed": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.coalesce(F.size("__lines"), F.lit(0))).cast("long"),
+    }).drop("__doc", "__copy", "__lines")

@@ -279,6 +279,18 @@ def test_lines_of_repeated_rows_stay(spark):
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, "a b c"), (1, "a b c"), (2, "")]
 
 
+def test_lines_of_rows_with_one_key_or_none(spark):
+    line = "one two three four five six seven eight nine ten"
+    docs = [(None, line), (None, "only here\nalpha beta"), (None, "only there"), (7, "first of seven"), (7, "something else"), (7, line), (8, "something else\nlast"), (None, "a copy\n\nof text")]
+    got = dedup_lines(table(spark, docs + [docs[-1]] * 3)).collect()
+    left = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got)
+    assert left == {
+        (None, line, 1, 0): 1, (None, "only here\nalpha beta", 2, 0): 1, (None, "only there", 1, 0): 1,
+        (7, "first of seven", 1, 0): 1, (7, "something else", 1, 0): 1, (7, "", 1, 1): 1, (8, "last", 2, 1): 1,
+        (None, "a copy\n\nof text", 3, 0): 1, (None, "", 3, 2): 3,
+    }
+
+
 # 6 --------------------------------------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomlog.llm.common import frozen, table
 from loomlog.llm.crf_language import identify_languages
 from loomlog.llm.jaccard_join import jaccard_components
-from loomlog.llm.line_dedup import dedup_lines
+from loomlog.llm.line_dedup import dedup_lines, document
 from loomlog.llm.packing import pack_documents
 from loomlog.llm.queries import tokenizer_path
 from loomlog.llm.wu_manber import overlaps
@@ -40,20 +40,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked ones; documents without an id stay.
+    """One document of each group of linked ones: that with the smallest id, one without an id only if none has any.
 
-    Of rows with one id and one text, one stays.
+    A document is told by its id and text. Of rows with one id and one text, or one text and no id, one stays; rows with
+    neither an id nor a word are linked with nothing and stay.
     """
-    found = jaccard_components(docs)
-    others = frozen(found.where("doc_id <> component_id").select("doc_id").distinct())
-    repeated = frozen(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    docs, columns = docs.withColumn("__doc", document("doc_id", "text")), docs.columns
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__doc").alias("row"), "text")
+    found = jaccard_components(rows, key="row")
+    found = frozen(found.select("row.__doc", (F.col("row") != F.col("component_id")).alias("other"), (F.col("row.unnamed") & (F.col("n_shingles") == 0)).alias("alone")))
+    others = frozen(found.where("other").select("__doc").distinct())
+    repeated = frozen(found.where("not other and not alone").groupBy("__doc").count().where("count > 1").select("__doc"))
 
     def sized(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
 
-    single = docs.join(sized(others), "doc_id", "left_anti").join(sized(repeated), "doc_id", "left_anti")
-    again = docs.join(sized(repeated), "doc_id", "left_semi").join(sized(others), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(again).select(*docs.columns)
+    single = docs.join(sized(others), "__doc", "left_anti").join(sized(repeated), "__doc", "left_anti")
+    again = docs.join(sized(repeated), "__doc", "left_semi").dropDuplicates(["__doc"])
+    return single.unionByName(again).select(*columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,19 @@ def test_pipeline_takes_awkward_rows(spark, sf_dir):
     for docs in (odd, odd.limit(0)):
         for _, stage in pipeline.STAGES:
             docs = pipeline.frozen(stage(spark, docs, sf_dir))
+
+
+def test_near_duplicates_keep_one_of_each_group(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    def near(name):
+        words = [f"{name}{i}" for i in range(60)]
+        return " ".join(words), " ".join([*words[:59], "other"])
+
+    (a, a2), (b, b2), (c, c2), (d, _), (e, e2) = map(near, "abcde")
+    texts = [(5, a), (5, b), (3, b2), (7, a2), (9, c), (9, c2), (None, d), (None, d), (None, d), (None, "alone"), (None, "alone too"), (None, e), (12, e2), (12, e2), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    left = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, docs, sf_dir).collect()]
+    of_c = [x for x in left if x in ((9, c), (9, c2))]
+    want = [(5, a), (3, b2), (None, d), (None, "alone"), (None, "alone too"), (12, e2), (None, None), (None, None)]
+    assert len(of_c) == 1 and sorted(left, key=str) == sorted(want + of_c, key=str)

@@ -230,9 +230,8 @@ def reduced_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("step_measures")
 def measured_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each of the steps that are expressions saves."""
-    off = ("collapsePipOutput", "detectCycles", "foldRepeatedPrefix", "foldStackTraces", "collapseRetries", "deduplicateLines", "compressPrefix", "stripEnvelope")
-    return step_measures(rich_lines(spark, sf_dir), dict.fromkeys(off, False))
+    """What each of the steps saves, and all of them."""
+    return step_measures(rich_lines(spark, sf_dir))
 
 
 @query("gate_responses")

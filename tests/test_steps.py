@@ -134,6 +134,21 @@ def test_reduction_switches_and_measures(spark):
     assert steps["b", "Total"]["lines_before"] == 0 and steps["b", "Total"]["tokens_saved_pct"] is None
 
 
+def test_registered_measures_equal_a_plain_fold(spark, sf_dir, monkeypatch):
+    from loomlog.plans import catalogue
+    from loomlog.plans.reduction import STEPS
+
+    text = LOG + "\n\n\n==> one\na\nb\nc\nd\n==> two\na\nb\nc\nd\nCACHED\nCollecting a==1 (from -r r.txt (line 1))\nCollecting b\nCollecting c>=2 (from a->x)"
+    monkeypatch.setattr(catalogue, "rich_lines", lambda spark, sf_dir: from_texts(spark, [("a", text)]))
+    got = {r["step_no"]: r for r in catalogue.QUERIES["step_measures"](spark, sf_dir).collect()}
+    sizes = [(len(text.split()), len(text.split("\n")), len(text))]
+    for step in STEPS:
+        text = run(spark, step.apply, text)
+        sizes.append((len(text.split()), len(text.split("\n")), len(text)))
+    want = {i: (s.title, sizes[i - 1], sizes[i]) for i, s in enumerate(STEPS, 1)} | {0: ("Total", sizes[0], sizes[-1])}
+    assert {i: (r["step"], *(tuple(r[f"{c}_{when}"] for c in ("tokens", "lines", "chars")) for when in ("before", "after"))) for i, r in got.items()} == want
+
+
 def test_files_tails_and_heads(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/one.log").write_bytes(b"a\r\nb\nc\n")

@@ -72,13 +72,14 @@ def with_token_keys(lines: DataFrame, codes: DataFrame) -> DataFrame:
     return lines.withColumn("codes", codes.scalar()).withColumn("keys", F.sort_array(F.transform(hashes, key))).drop("body", "codes")
 
 
-def _place(key: Column, line: Column, integral: bool) -> Column:
-    """A number that never falls as (key, line) grows; it may be equal for different places."""
+def _place(key: Column, doc: Column, integral: bool) -> Column:
+    """A number that never falls as (key, document) grows; it may be equal for different places."""
     if integral:
-        bound = (1 << 42) - 1
-        high = F.least(F.greatest(key.cast("long"), F.lit(-bound)), F.lit(bound))
-        return F.coalesce(F.shiftleft(high, 20) + F.least(line, F.lit((1 << 20) - 1)), F.lit(-(1 << 63)))
-    return F.coalesce(F.conv(F.hex(F.substring(F.rpad(key.cast("string").cast("binary"), F.lit(7), F.lit(b"\x00")), 1, 7)), 16, 10).cast("long"), F.lit(-1))
+        named = F.shiftright(key.cast("long"), 1)
+    else:
+        named = F.conv(F.hex(F.substring(F.rpad(key.cast("string").cast("binary"), F.lit(7), F.lit(b"\x00")), 1, 7)), 16, 10).cast("long")
+    # null keys come first, in an order of their own: signed hashes, moved below all other places
+    return F.coalesce(named, F.shiftright(doc, 2) + F.lit((1 << 61) - (1 << 63)))
 
 
 def _could_match(n: Column, pos: Column, bits: Column, n2: Column, pos2: Column, bits2: Column, similar: tuple[int, int]) -> Column:
@@ -127,9 +128,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
 
 
 def _described(docs: DataFrame, key: str, text: str, codes: DataFrame, similar: tuple[int, int], written: Written) -> tuple[DataFrame, DataFrame]:
-    """Classes of lines with equal sets (cls, first, copies, n, bits, prefix, who, place), and lines (doc, line, cls).
+    """Classes of lines with equal sets (cls, first, copies, n, bits, prefix, place), and lines (doc, line, cls).
 
-    ``who`` stands for a class: it tells where it occurs first.
+    ``place`` is a hint of where a class occurs first; classes may share one.
     """
     part, whole = similar
     integral = isinstance(docs.schema[key].dataType, IntegralType)
@@ -141,9 +142,8 @@ def _described(docs: DataFrame, key: str, text: str, codes: DataFrame, similar:
     ).persist(StorageLevel.MEMORY_AND_DISK)
     # combined before they are shuffled: a line that is everywhere arrives as a few rows a task
     classes = described.groupBy("cls").agg(F.min(F.struct("key", "doc", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    place = _place(F.col("first.key"), F.col("first.line").cast("long"), integral)
-    who = place if integral else F.xxhash64("first.doc", "first.line")
-    classes = written(classes.select("cls", "first", "copies", "n", "bits", "prefix", who.alias("who"), place.alias("place")))
+    place = _place(F.col("first.key"), F.col("first.doc"), integral)
+    classes = written(classes.select("cls", "first", "copies", "n", "bits", "prefix", place.alias("place")))
     lines = written(described.select("doc", "line", "cls"))
     described.unpersist()
     return classes, lines
@@ -152,48 +152,50 @@ def _described(docs: DataFrame, key: str, text: str, codes: DataFrame, similar:
 def _with_earlier_match(docs: DataFrame, key: str, text: str, codes: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """(cls): classes that match one that occurs first at an earlier place."""
     part, whole = similar
-    integral = isinstance(docs.schema[key].dataType, IntegralType)
-    posted = classes.select("who", *([] if integral else ["place"]), "bits", "n", F.posexplode("prefix").alias("pos", "token"))
+    posted = classes.select("cls", "place", "bits", "n", F.posexplode("prefix").alias("pos", "token"))
     # one shuffle by token serves both searches
-    order = "who" if integral else "place"
-    postings = posted.repartition(parallelism(docs), "token").sortWithinPartitions("token", order).persist(StorageLevel.MEMORY_AND_DISK)
-    slim = classes.select("who", "cls", "first")
+    postings = posted.repartition(parallelism(docs), "token").sortWithinPartitions("token", "place").persist(StorageLevel.MEMORY_AND_DISK)
+    slim = classes.select("cls", "first")
     part_tables = Written(docs.sparkSession)
 
     def matches(pairs: DataFrame, slices: int) -> DataFrame:
-        """(who, cls): classes with an earlier match among the (x, y) pairs, which are checked slice after slice."""
+        """(cls): classes with an earlier match among the (x, y) pairs, which are checked slice after slice."""
         pairs = frozen(pairs)
-        wanted = frozen(pairs.select(F.col("x").alias("who")).unionByName(pairs.select(F.col("y").alias("who"))).distinct().join(slim, "who"))
+        wanted = frozen(pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct().join(slim, "cls"))
         asked = wanted.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
         texts = _in(docs.select(document(key, text).alias("doc"), F.col(text).alias("text")), asked.select("doc").distinct(), ["doc"], "left_semi")
         # only the lines asked for are taken apart
         bodies = _in(trimmed_lines(texts, "text", F.col("doc")), asked.distinct(), ["doc", "line"], "left_semi").select("body")
         sets = with_token_keys(bodies, codes).select(F.xxhash64("keys").alias("cls"), "keys").groupBy("cls").agg(F.first("keys").alias("keys")).join(wanted, "cls")
         sets = part_tables(sets)
-        left = sets.select(F.col("who").alias("x"), F.col("cls").alias("cx"), F.col("keys").alias("a"), F.col("first").alias("fa"))
-        right = sets.select(F.col("who").alias("y"), F.col("cls").alias("cy"), F.col("keys").alias("b"), F.col("first").alias("fb"))
+        left = sets.select(F.col("cls").alias("x"), F.col("keys").alias("a"), F.col("first").alias("fa"))
+        right = sets.select(F.col("cls").alias("y"), F.col("keys").alias("b"), F.col("first").alias("fb"))
         both = F.size(F.array_intersect("a", "b"))
         later = F.col("fa") > F.col("fb")
         found = []
         for i in range(slices):
             mine = F.pmod(F.xxhash64("x"), F.lit(slices)) == i
             checked = pairs.where(mine).join(left.where(mine), "x").join(right, "y").where((both * whole >= (F.size("a") + F.size("b") - both) * part) & (F.col("fa") != F.col("fb")))
-            found.append(frozen(checked.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("who"), F.when(later, F.col("cx")).otherwise(F.col("cy")).alias("cls")).distinct()))
+            found.append(frozen(checked.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("cls")).distinct()))
             release(docs.sparkSession)
         part_tables.drop()
         return reduce(DataFrame.unionByName, found).distinct()
 
+    def paired(c: str, d: str) -> list[Column]:
+        """Two classes, whichever was met from the other."""
+        return [F.greatest(c, d).alias("x"), F.least(c, d).alias("y")]
+
     # first each class against the earliest one of each of its tokens: in a large group of near copies, that settles most
-    by_token = Window.partitionBy("token").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leader = F.first(F.struct("who", "n", "pos", "bits")).over(by_token)
-    led = postings.select("who", "n", "pos", "bits", leader.alias("o")).where((F.col("o.who") != F.col("who")) & _could_match(F.col("n"), F.col("pos"), F.col("bits"), F.col("o.n"), F.col("o.pos"), F.col("o.bits"), similar))
-    settled = matches(led.select(F.col("who").alias("x"), F.col("o.who").alias("y")).distinct(), 1)
-    # then those that are left against all earlier ones
-    mine = _in(postings, settled.select("who"), ["who"], "left_anti").select("token", *[F.col(c).alias(f"m_{c}") for c in dict.fromkeys(("who", "n", "pos", "bits", order))])
-    met = mine.join(postings, "token").where((F.col(order) <= F.col(f"m_{order}")) & (F.col("who") != F.col("m_who")) & _could_match(F.col("m_n"), F.col("m_pos"), F.col("m_bits"), F.col("n"), F.col("pos"), F.col("bits"), similar))
-    rest = matches(met.select(F.col("m_who").alias("x"), F.col("who").alias("y")).distinct(), SLICES)
+    by_token = Window.partitionBy("token").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    leader = F.first(F.struct("cls", "n", "pos", "bits")).over(by_token)
+    led = postings.select("cls", "n", "pos", "bits", leader.alias("o")).where((F.col("o.cls") != F.col("cls")) & _could_match(F.col("n"), F.col("pos"), F.col("bits"), F.col("o.n"), F.col("o.pos"), F.col("o.bits"), similar))
+    settled = matches(led.select(*paired("cls", "o.cls")).distinct(), 1)
+    # then those that are left against all earlier ones, and those at the same place
+    mine = _in(postings, settled, ["cls"], "left_anti").select("token", *[F.col(c).alias(f"m_{c}") for c in ("cls", "n", "pos", "bits", "place")])
+    met = mine.join(postings, "token").where((F.col("place") <= F.col("m_place")) & (F.col("cls") != F.col("m_cls")) & _could_match(F.col("m_n"), F.col("m_pos"), F.col("m_bits"), F.col("n"), F.col("pos"), F.col("bits"), similar))
+    rest = matches(met.select(*paired("m_cls", "cls")).distinct(), SLICES)
     postings.unpersist()
-    return settled.unionByName(rest).select("cls").distinct()
+    return settled.unionByName(rest).distinct()
 
 
 def _with_copies_marked(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -224,13 +226,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     text and no key, all but one lose all lines with tokens. An empty table gives no rows.
     """
     gone = removed_lines(docs, key, text, similar).select(F.col("doc").alias("__doc"), F.col("lines").alias("__lines"))
-    parts = F.split(F.col(text), "\n", -1)
+    parts = F.col("__parts")
     every = F.sequence(F.lit(0), F.size(parts) - 1)
     marked = _with_copies_marked(docs, key, text).withColumn("__doc", document(key, text))
+    # a column of its own: in the functions below a text would be split again for each line
+    marked = marked.withColumn("__parts", F.split(F.col(text), "\n", -1))
     joined = marked.join(gone, "__doc", "left").withColumn("__lines", F.when(F.col("__copy"), F.filter(every, lambda i: trimmed(F.get(parts, i)) != "")).otherwise(F.col("__lines")))
     kept = F.transform(F.array_except(every, F.col("__lines")), lambda i: F.get(parts, i))
     return joined.withColumns({
         text: F.when(F.col("__lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
         "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long"),
         "n_removed": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.coalesce(F.size("__lines"), F.lit(0))).cast("long"),
-    }).drop("__doc", "__copy", "__lines")
+    }).drop("__doc", "__copy", "__parts", "__lines")

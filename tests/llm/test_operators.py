@@ -291,6 +291,19 @@ def test_lines_of_rows_with_one_key_or_none(spark):
     }
 
 
+def test_near_lines_of_large_and_null_ids_and_late_lines(spark):
+    def near(name):
+        words = [f"{name}{i}" for i in range(20)]
+        return " ".join(words), " ".join([*words[:19], f"{name}other"])
+
+    (a, a2), (b, b2), (c, c2), (d, d2) = map(near, "abcd")
+    docs = [(2**62 + 5, a), (2**62 + 900, a2), (2**63 - 1, "alone\n" + b2), (-(2**62) - 3, "alone too\n" + b), (None, c), (None, c2), (5, "\n" * (2**20 + 3) + d + "\n" + d2)]
+    got = dedup_lines(table(spark, docs)).select("doc_id", "n_removed", F.trim("text", F.lit("\n")).alias("text")).collect()
+    left = {r["doc_id"]: (r["text"], r["n_removed"]) for r in got if r["doc_id"] is not None}
+    assert left == {2**62 + 5: (a, 0), 2**62 + 900: ("", 1), 2**63 - 1: ("alone", 1), -(2**62) - 3: ("alone too\n" + b, 0), 5: (d, 1)}
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] is None) == [0, 1]
+
+
 # 6 --------------------------------------------------------------------------------------------------------------------
 
 

@@ -22,8 +22,8 @@ TRAIN_DOCUMENTS = 3_000
 SEQUENCES, PART = 8_000, (3, 18)
 #: Words of a language's lexicon: its most frequent ones in the sample.
 LEXICON = 400
-#: Letters of a word that n-grams see; a longer word shows its front and its end.
-WIDTH = 24
+#: Letters of a word that is labelled as one; a longer word is labelled in pieces. What tells a piece: no text has it.
+WIDTH, PIECE = 24, "\ud800"
 #: Words labelled at a time, and remembered words of a task.
 CHUNK_WORDS, REMEMBER = 150_000, 300_000
 
@@ -42,9 +42,34 @@ class Model:
     start: np.ndarray
 
 
+def cuts(word: str) -> list[str]:
+    """A word, or a longer one's letters in runs of nearly equal length."""
+    body = core(word) if len(word) > WIDTH else ""
+    if len(body) <= WIDTH:
+        return [word]
+    n = -(-len(body) // (WIDTH - 2))
+    return [body[i * len(body) // n : (i + 1) * len(body) // n] for i in range(n)]
+
+
+def pieces(words: list[str]) -> list[str]:
+    """Words, longer ones in consecutive pieces: each with the three letters after it, so that no n-gram is lost, and the word's edges."""
+    if not words or max(map(len, words)) <= WIDTH:
+        return words
+    out = []
+    for word in words:
+        runs = cuts(word)
+        if len(runs) == 1:
+            out.append(word)
+            continue
+        for i, run in enumerate(runs):
+            out.append(PIECE + ("" if i else "\x02") + run + (runs[i + 1][:3] if i + 1 < len(runs) else "\x03"))
+    return out
+
+
 def core(word: str) -> str:
-    """A word without what isn't letters at its edges; "" if it has no letter."""
-    word = word.strip(_EDGES)
+    """A word without what isn't letters at its edges; "" if it has no letter. Pieces stay whole."""
+    if word[:1] != PIECE:
+        word = word.strip(_EDGES)
     return word if word.isalpha() or any(map(str.isalpha, word)) else ""
 
 
@@ -53,8 +78,8 @@ def features(words: list[str]) -> np.ndarray:
 
     N-grams that touch an edge are the word's affixes; as the edge is part of them, they have features of their own.
     """
-    cut = [f"\x02{w if len(w) <= WIDTH else w[: WIDTH // 2] + w[-WIDTH // 2 :]}\x03" for w in words]
-    letters = np.array(cut, dtype=f"U{WIDTH + 2}").view(np.uint32).reshape(len(words), WIDTH + 2).astype(np.uint64)
+    marked = [w[1:] if w[:1] == PIECE else f"\x02{w}\x03" for w in words]
+    letters = np.array(marked, dtype=f"U{WIDTH + 2}").view(np.uint32).reshape(len(words), WIDTH + 2).astype(np.uint64)
     there = letters > 0
     rolled, columns = np.zeros_like(letters), []
     for n in range(1, 5):
@@ -133,7 +158,7 @@ def sequences(texts: list[tuple[str, int]], count: int, seed: int = 7) -> tuple[
     rng = np.random.default_rng(seed)
     by: dict[int, list[list[str]]] = {}
     for text, label in texts:
-        if len(words := text.lower().split()) >= PART[0]:
+        if len(words := pieces(text.lower().split())) >= PART[0]:
             by.setdefault(label, []).append(words)
     words_out, labels_out, lengths = [], [], []
     present = sorted(by)
@@ -166,7 +191,7 @@ def train(texts: list[tuple[str, str]], epochs: int = 4, batch: int = 250, rate:
     lexicon: dict[str, int] = {}
     for c in counts:
         for word, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
-            if word and n > 2:
+            if word and n > 2 and word[0] != PIECE:
                 lexicon.setdefault(word, len(lexicon))
     model = Model(languages, np.zeros((DIMENSIONS, size)), lexicon, np.zeros((len(lexicon), size)), np.zeros((size, size)), np.zeros(size))
     distinct, which = np.unique(np.asarray(words, dtype=object), return_inverse=True)
@@ -249,14 +274,15 @@ class Labeller:
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
     def words(self, text: str) -> list[tuple[str, str, float]]:
-        """(word, language, marginal) of a text's words; a word without letters has language ``und``."""
-        words, lengths = [], []
+        """(word, language, marginal) of a text's words, long ones in pieces; one without letters has language ``und``."""
+        words, shown, lengths = [], [], []
         for line in text.lower().split("\n"):
-            words += (line_words := line.split())
+            words += (line_words := pieces(line.split()))
+            shown += [x for w in line.split() for x in cuts(w)]
             lengths.append(len(line_words))
         which = self._numbers(words)
         marginals, _ = forward_backward(self.scores[which], np.asarray(lengths), self.model.transitions, self.model.start)
-        return [(w, self.model.languages[m.argmax()], float(m.max())) if self.lettered[i] else (w, "und", 0.0) for w, i, m in zip(words, which, marginals, strict=True)]
+        return [(w, self.model.languages[m.argmax()], float(m.max())) if self.lettered[i] else (w, "und", 0.0) for w, i, m in zip(shown, which, marginals, strict=True)]
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of marginals over each text's words with letters (texts x L), and how many such words there are.
@@ -267,7 +293,7 @@ class Labeller:
         words, lengths, owners = [], [], []
         for i, text in enumerate(texts):
             for line in (text or "").lower().split("\n"):
-                if line_words := line.split():
+                if line_words := pieces(line.split()):
                     words += line_words
                     lengths.append(len(line_words))
                     owners.append(i)
@@ -313,7 +339,8 @@ def language_column(docs: DataFrame, model: Model | None, text: str = "text") ->
 def identify_languages(docs: DataFrame, learn_from: DataFrame | None = None, text: str = "text", lang: str = "lang", name: str = "language") -> DataFrame:
     """Add the struct column ``name`` (lang_pred, score) to docs, by a model learned from ``learn_from`` (default: docs).
 
-    Every word of a text is labelled by forward-backward along its line; only the text is looked at. Null and empty
+    Every word of a text is labelled by forward-backward along its line, a word of more than WIDTH letters in pieces that
+    are all labelled and counted; only the text is looked at. Null and empty
     texts are ``und``; equal texts get equal results, but for the order of sums; an empty table gives no rows; a column
     called ``name`` is replaced.
     """

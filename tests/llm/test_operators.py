@@ -191,6 +191,32 @@ def test_languages(spark):
     assert train([]) is None
 
 
+def test_languages_of_text_without_spaces():
+    from loomlog.llm.crf_language import Labeller, cuts, features, pieces
+
+    r = random.Random(2)
+    letters = {"xx": "bcdfg", "yy": "mnpqr"}
+
+    def some(lang, n):
+        return "".join(r.choice(letters[lang]) for _ in range(n))
+
+    texts = [(" ".join(some(lang, r.randint(2, 9)) for _ in range(30)), lang) for _ in range(60) for lang in letters]
+    inside, mixed = some("yy", 12) + some("xx", 5000) + some("yy", 12), some("xx", 600) + some("yy", 400)
+    labeller = Labeller(train(texts))
+    sums, known = labeller.texts([inside, mixed, inside + "\n" + mixed])
+    shares = sums / known[:, None]
+    assert shares[0, 0] > 0.95 and 0.5 < shares[1, 0] < 0.7 and known[0] > 200
+    assert "".join(w for w, _, _ in labeller.words(inside)) == inside
+    # a language that is only written without spaces is learned
+    assert train([(some(lang, 300), lang) for _ in range(20) for lang in letters]) is not None
+    for n in (24, 25, 26, 44, 45, 100, 5024):
+        word = "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+        marked = f"\x02{word}\x03"
+        seen = "|".join(p[1:] for p in pieces([word])) if n > 24 else marked
+        assert all(marked[i : i + k] in seen for k in range(1, 5) for i in range(len(marked) - k + 1))
+        assert "".join(cuts(word)) == word and features(pieces([word])).shape[0] == len(cuts(word))
+
+
 def test_held_out_accuracy(spark, sf_dir):
     import __spark_entry__
 

@@ -9,32 +9,32 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
-from pyspark.sql.window import Window
-from pyspark.storagelevel import StorageLevel
 
-from .common import Written, frozen, parallelism, release
+from .common import Written, frozen, release
 
 #: Similarity, as a fraction: 100 * intersection >= 80 * union.
 SIMILAR = (80, 100)
 #: Counters of token frequencies, eight bytes each.
-COUNTERS = 1 << 18
-#: Rows of ids that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-#: Parts in which the last candidates are checked: only one part's token sets are on disk at a time.
-SLICES = 6
+COUNTERS = 1 << 16
+#: Bytes of a table that may be broadcast, by its rows; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Parts in which prefix tokens are joined, so that only one part's rows are on disk at a time; fewer than SLICE_ROWS are one part.
+SLICES, SLICE_ROWS = 4, 1_000_000
 #: The largest rarity code: it stays below the sign of a number.
 MOST_CODE = 127
+#: White space inside lines, other than the space.
+WHITE = ("\t", "\x0b", "\f", "\r")
 
 
-def trimmed(line: Column) -> Column:
-    """A line without white space at its ends: "" if it has no token."""
-    return F.btrim(line, F.lit(" \t\x0b\f\r"))
+def spaced(text: Column) -> Column:
+    """The text with spaces for other white space inside lines. Few texts have any: the rest are passed on as they are."""
+    other = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in WHITE])
+    return F.when(other, F.translate(text, "".join(WHITE), " " * len(WHITE))).otherwise(text)
 
 
-def tokens(line: Column) -> Column:
-    """The tokens of a trimmed line, in order."""
-    return F.split(line, "[ \t\x0b\f\r]+", -1)
+def _token_hashes(body: Column) -> Column:
+    """Hashes of the distinct tokens of a spaced line."""
+    return F.array_except(F.transform(F.split(body, " ", -1), lambda t: F.xxhash64(t)), F.array(F.xxhash64(F.lit(""))))
 
 
 def _counter(token_hash: Column) -> Column:
@@ -43,8 +43,8 @@ def _counter(token_hash: Column) -> Column:
 
 def trimmed_lines(docs: DataFrame, text: str, *others: Column) -> DataFrame:
     """Lines with tokens: the other columns, line (from 0) and body."""
-    lines = docs.select(*others, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "whole"))
-    return lines.withColumn("body", trimmed(F.col("whole"))).drop("whole").where("body != ''")
+    lines = docs.select(*others, spaced(F.col(text)).alias("spaced")).select(*[c for c in docs.select(*others).columns], F.posexplode(F.split("spaced", "\n", -1)).alias("line", "whole"))
+    return lines.withColumn("body", F.trim("whole")).drop("whole").where("body != ''")
 
 
 def rarity_codes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -52,7 +52,7 @@ def rarity_codes(docs: DataFrame, text: str = "text") -> DataFrame:
 
     It orders tokens by how often they occur; tokens with one counter share a code. Its size is the same for any input.
     """
-    words = trimmed_lines(docs, text).select(F.explode(tokens(F.col("body"))).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace(spaced(F.col(text)), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w")).where("w != ''")
     counts = words.groupBy(_counter(F.xxhash64("w")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     code = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1) * 2.5), F.lit(MOST_CODE)).cast("long")
     every = docs.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("c")).join(counts, "c", "left").select("c", F.shiftleft(code, 56).alias("code"))
@@ -65,37 +65,40 @@ def with_token_keys(lines: DataFrame, codes: DataFrame) -> DataFrame:
     """lines with ``keys`` for ``body``: its distinct tokens as numbers, the rarest first (rarity code, 56 bits of hash)."""
 
     def key(h: Column) -> Column:
-        return F.get("codes", _counter(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.col("codes")[h.bitwiseAND(F.lit(COUNTERS - 1))].bitwiseOR(F.shiftrightunsigned(h, 8))
 
     # the codes are one value of the plan (a scalar subquery), not a column that rows carry: the optimizer puts it in place
-    hashes = F.array_distinct(F.transform(tokens(F.col("body")), lambda t: F.xxhash64(t)))
-    return lines.withColumn("codes", codes.scalar()).withColumn("keys", F.sort_array(F.transform(hashes, key))).drop("body", "codes")
+    return lines.withColumn("codes", codes.scalar()).withColumn("keys", F.sort_array(F.transform(_token_hashes(F.col("body")), key))).drop("body", "codes")
 
 
-def _place(key: Column, doc: Column, integral: bool) -> Column:
-    """A number that never falls as (key, document) grows; it may be equal for different places."""
-    if integral:
-        named = F.shiftright(key.cast("long"), 1)
-    else:
-        named = F.conv(F.hex(F.substring(F.rpad(key.cast("string").cast("binary"), F.lit(7), F.lit(b"\x00")), 1, 7)), 16, 10).cast("long")
-    # null keys come first, in an order of their own: signed hashes, moved below all other places
-    return F.coalesce(named, F.shiftright(doc, 2) + F.lit((1 << 61) - (1 << 63)))
+def _parities(keys: str) -> Column:
+    """A bitmap: for each value of six bits of a token's hash, whether the number of tokens that have it is odd."""
 
+    def bit(k: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
 
-def _could_match(n: Column, pos: Column, bits: Column, n2: Column, pos2: Column, bits2: Column, similar: tuple[int, int]) -> Column:
-    """Length, positional and bitmap filters on two lines that share a prefix token (at positions pos and pos2).
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
 
-    Of all tokens they share, the first in order passes the positional filter if they are similar. The bitmaps have the
-    parity of the tokens of each residue: they differ in no more places than the lines differ in tokens.
+
+def _could_match(a: str, b: str, similar: tuple[int, int]) -> Column:
+    """Length, positional and bitmap filters on two different classes that share a prefix token.
+
+    Of all tokens they share, the first in order passes the positional filter if they are similar. Bitmaps of parities
+    differ in no more places than the lines differ in tokens.
     """
     part, whole = similar
+    (n, pos, bits), (n2, pos2, bits2) = [(F.shiftright(f"{x}.at", 32), F.col(f"{x}.at").bitwiseAND(F.lit((1 << 32) - 1)), F.col(f"{x}.bits")) for x in (a, b)]
     need = F.ceil(F.lit(part) * (n + n2) / F.lit(float(part + whole)) - 1e-9)
-    return (n * whole >= n2 * part) & (n2 * whole >= n * part) & (F.least(n - pos, n2 - pos2) >= need) & (F.bit_count(bits.bitwiseXOR(bits2)) <= n + n2 - 2 * need)
+    differ = n + n2 - 2 * need
+    other = (F.col(f"{a}.cls") != F.col(f"{b}.cls")) | (bits != bits2)
+    near = F.bit_count(bits.bitwiseXOR(bits2)) <= differ
+    return (F.col(f"{a}.token") == F.col(f"{b}.token")) & (n * whole >= n2 * part) & (n2 * whole >= n * part) & (F.least(n - pos, n2 - pos2) >= need) & near & other
 
 
-def _in(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join with a table of ids, by broadcast if they are few."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+def _sized(ids: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """The table, to be broadcast if its rows are small in all: their number and width are measured."""
+    held = ids.agg(F.coalesce(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)), F.lit(0)).alias("b")).first()["b"]
+    return F.broadcast(ids) if held <= BROADCAST_BYTES else ids
 
 
 def document(key: str, text: str) -> Column:
@@ -112,90 +115,76 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     spark = docs.sparkSession
     codes = rarity_codes(docs, text)
     written = Written(spark)
-    classes, lines = _described(docs, key, text, codes, similar, written)
-    release(spark)
-    gone = _with_earlier_match(docs, key, text, codes, classes, similar).withColumn("gone", F.lit(True))
+    lines = written(_described(docs, key, text, codes, similar))
     release(spark)
-    judged = frozen(classes.select("cls", "first", "copies").join(gone, "cls", "left").where("copies > 1 or gone").select("cls", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
-    del classes, gone
+    # combined before they are shuffled: a line that is everywhere arrives as a few rows a task
+    classes = lines.groupBy("cls", "bits", "n").agg(F.min(F.struct("key", "doc", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"))
+    classes = written(classes)
     release(spark)
-    out = lines.join(judged, "cls").where(F.col("gone") | (F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line")))
+    gone = _with_earlier_match(docs, key, text, codes, classes, similar, written).withColumn("gone", F.lit(True))
+    judged = classes.select("cls", "bits", "first", "copies").join(gone, ["cls", "bits"], "left").where("copies > 1 or gone").select("cls", "bits", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    out = lines.select("doc", "line", "cls", "bits").join(judged, ["cls", "bits"]).where(F.col("gone") | (F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line")))
     out = frozen(out.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines")))
-    del lines, judged
+    del classes, lines, gone, judged
     written.drop()
     release(spark)
     return out
 
 
-def _described(docs: DataFrame, key: str, text: str, codes: DataFrame, similar: tuple[int, int], written: Written) -> tuple[DataFrame, DataFrame]:
-    """Classes of lines with equal sets (cls, first, copies, n, bits, prefix, place), and lines (doc, line, cls).
+def _described(docs: DataFrame, key: str, text: str, codes: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Lines (key, doc, line), a class for each set of tokens (cls, bits: 128 bits of the set), its size n and its prefix.
 
-    ``place`` is a hint of where a class occurs first; classes may share one.
+    A prefix has 31 bits of each token's hash: different tokens that share them only make more candidates.
     """
     part, whole = similar
-    integral = isinstance(docs.schema[key].dataType, IntegralType)
     size = F.size("keys")
-    described = with_token_keys(trimmed_lines(docs, text, F.col(key).alias("key"), document(key, text).alias("doc")), codes).select(
+    longest = size - F.ceil(size * part / F.lit(float(whole)) - 1e-9).cast("int") + 1
+    return with_token_keys(trimmed_lines(docs, text, F.col(key).alias("key"), document(key, text).alias("doc")), codes).select(
         "key", "doc", "line", F.xxhash64("keys").alias("cls"), size.alias("n"),
-        F.slice("keys", 1, size - F.ceil(size * part / F.lit(float(whole)) - 1e-9).cast("int") + 1).alias("prefix"),
-        F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    # combined before they are shuffled: a line that is everywhere arrives as a few rows a task
-    classes = described.groupBy("cls").agg(F.min(F.struct("key", "doc", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    place = _place(F.col("first.key"), F.col("first.doc"), integral)
-    classes = written(classes.select("cls", "first", "copies", "n", "bits", "prefix", place.alias("place")))
-    lines = written(described.select("doc", "line", "cls"))
-    described.unpersist()
-    return classes, lines
+        F.transform(F.slice("keys", 1, longest), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
+        _parities("keys").alias("bits"),
+    )
 
 
-def _with_earlier_match(docs: DataFrame, key: str, text: str, codes: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(cls): classes that match one that occurs first at an earlier place."""
+def _with_earlier_match(docs: DataFrame, key: str, text: str, codes: DataFrame, classes: DataFrame, similar: tuple[int, int], written: Written) -> DataFrame:
+    """(cls, bits): classes that match one that occurs first at an earlier place.
+
+    Pairs are never made: a semi-join keeps, of each token's classes, those that could match any other one there; a second
+    one, over those alone and with their sets, keeps those that do match an earlier one.
+    """
     part, whole = similar
-    posted = classes.select("cls", "place", "bits", "n", F.posexplode("prefix").alias("pos", "token"))
-    # one shuffle by token serves both searches
-    postings = posted.repartition(parallelism(docs), "token").sortWithinPartitions("token", "place").persist(StorageLevel.MEMORY_AND_DISK)
-    slim = classes.select("cls", "first")
-    part_tables = Written(docs.sparkSession)
-
-    def matches(pairs: DataFrame, slices: int) -> DataFrame:
-        """(cls): classes with an earlier match among the (x, y) pairs, which are checked slice after slice."""
-        pairs = frozen(pairs)
-        wanted = frozen(pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct().join(slim, "cls"))
-        asked = wanted.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
-        texts = _in(docs.select(document(key, text).alias("doc"), F.col(text).alias("text")), asked.select("doc").distinct(), ["doc"], "left_semi")
-        # only the lines asked for are taken apart
-        bodies = _in(trimmed_lines(texts, "text", F.col("doc")), asked.distinct(), ["doc", "line"], "left_semi").select("body")
-        sets = with_token_keys(bodies, codes).select(F.xxhash64("keys").alias("cls"), "keys").groupBy("cls").agg(F.first("keys").alias("keys")).join(wanted, "cls")
-        sets = part_tables(sets)
-        left = sets.select(F.col("cls").alias("x"), F.col("keys").alias("a"), F.col("first").alias("fa"))
-        right = sets.select(F.col("cls").alias("y"), F.col("keys").alias("b"), F.col("first").alias("fb"))
-        both = F.size(F.array_intersect("a", "b"))
-        later = F.col("fa") > F.col("fb")
-        found = []
-        for i in range(slices):
-            mine = F.pmod(F.xxhash64("x"), F.lit(slices)) == i
-            checked = pairs.where(mine).join(left.where(mine), "x").join(right, "y").where((both * whole >= (F.size("a") + F.size("b") - both) * part) & (F.col("fa") != F.col("fb")))
-            found.append(frozen(checked.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("cls")).distinct()))
-            release(docs.sparkSession)
-        part_tables.drop()
-        return reduce(DataFrame.unionByName, found).distinct()
-
-    def paired(c: str, d: str) -> list[Column]:
-        """Two classes, whichever was met from the other."""
-        return [F.greatest(c, d).alias("x"), F.least(c, d).alias("y")]
-
-    # first each class against the earliest one of each of its tokens: in a large group of near copies, that settles most
-    by_token = Window.partitionBy("token").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leader = F.first(F.struct("cls", "n", "pos", "bits")).over(by_token)
-    led = postings.select("cls", "n", "pos", "bits", leader.alias("o")).where((F.col("o.cls") != F.col("cls")) & _could_match(F.col("n"), F.col("pos"), F.col("bits"), F.col("o.n"), F.col("o.pos"), F.col("o.bits"), similar))
-    settled = matches(led.select(*paired("cls", "o.cls")).distinct(), 1)
-    # then those that are left against all earlier ones, and those at the same place
-    mine = _in(postings, settled, ["cls"], "left_anti").select("token", *[F.col(c).alias(f"m_{c}") for c in ("cls", "n", "pos", "bits", "place")])
-    met = mine.join(postings, "token").where((F.col("place") <= F.col("m_place")) & (F.col("cls") != F.col("m_cls")) & _could_match(F.col("m_n"), F.col("m_pos"), F.col("m_bits"), F.col("n"), F.col("pos"), F.col("bits"), similar))
-    rest = matches(met.select(*paired("m_cls", "cls")).distinct(), SLICES)
-    postings.unpersist()
-    return settled.unionByName(rest).distinct()
+    spark = docs.sparkSession
+    posted = classes.select("cls", "bits", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+
+    slices = SLICES if (classes.agg(F.sum(F.size("prefix"))).first()[0] or 0) > SLICE_ROWS else 1
+    met = []
+    for i in range(slices):
+        some = posted.where(F.pmod("token", F.lit(slices)) == i)
+        met.append(written(some.alias("a").join(some.alias("b"), _could_match("a", "b", similar), "left_semi")))
+        release(spark)
+    met = reduce(DataFrame.unionByName, met)
+    sets = written(_token_sets(docs, key, text, codes, classes.join(met.select("cls", "bits").distinct(), ["cls", "bits"], "left_semi")))
+    release(spark)
+    found = []
+    for i in range(slices):
+        some = met.where(F.pmod("token", F.lit(slices)) == i).join(sets, ["cls", "bits"]).select("token", "cls", "bits", "at", "first", "keys")  # in one order, so that one shuffle serves both sides
+        both = F.size(F.array_intersect("a.keys", "b.keys"))
+        match = both * whole >= (F.size("a.keys") + F.size("b.keys") - both) * part
+        # the cheap conditions come first
+        matched = some.alias("a").join(some.alias("b"), _could_match("a", "b", similar) & (F.col("b.first") < F.col("a.first")) & match, "left_semi")
+        found.append(written(matched.select("cls", "bits").distinct()))
+        release(spark)
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _token_sets(docs: DataFrame, key: str, text: str, codes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, bits, first, keys) of the classes, from the lines where they occur first: only those are taken apart."""
+    asked = frozen(classes.select("cls", "bits", "first"))
+    where = asked.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
+    texts = docs.select(document(key, text).alias("doc"), F.col(text).alias("text")).join(_sized(where.select("doc").distinct(), 16), "doc", "left_semi")
+    bodies = trimmed_lines(texts, "text", F.col("doc")).join(_sized(where.distinct(), 32), ["doc", "line"], "left_semi").select("doc", "line", "body")
+    keys = with_token_keys(bodies.dropDuplicates(["doc", "line"]), codes)
+    return asked.join(keys, (F.col("first.doc") == F.col("doc")) & (F.col("first.line") == F.col("line"))).select("cls", "bits", "first", "keys")
 
 
 def _with_copies_marked(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -210,10 +199,11 @@ def _with_copies_marked(docs: DataFrame, key: str, text: str) -> DataFrame:
         return marked
     named = docs.where(~unnamed).withColumn("__copy", F.lit(False))
     rest = docs.where(unnamed).withColumn("__doc", document(key, text))
-    copies = frozen(_in(rest, repeated, ["__doc"], "left_semi").withColumn("__row", F.monotonically_increasing_id()))
+    repeated = _sized(repeated, 16)
+    copies = frozen(rest.join(repeated, "__doc", "left_semi").withColumn("__row", F.monotonically_increasing_id()))
     first = frozen(copies.groupBy("__doc").agg(F.min("__row").alias("__row")).select("__row", F.lit(True).alias("__first")))
-    copies = copies.join(F.broadcast(first) if first.count() <= BROADCAST_IDS else first, "__row", "left").withColumn("__copy", F.col("__first").isNull())
-    rest = _in(rest, repeated, ["__doc"], "left_anti").withColumn("__copy", F.lit(False))
+    copies = copies.join(_sized(first, 24), "__row", "left").withColumn("__copy", F.col("__first").isNull())
+    rest = rest.join(repeated, "__doc", "left_anti").withColumn("__copy", F.lit(False))
     columns = [*docs.columns, "__copy"]
     return named.unionByName(rest.select(*columns)).unionByName(copies.select(*columns))
 
@@ -229,9 +219,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     parts = F.col("__parts")
     every = F.sequence(F.lit(0), F.size(parts) - 1)
     marked = _with_copies_marked(docs, key, text).withColumn("__doc", document(key, text))
+    joined = marked.join(_sized(gone, F.size("__lines") * 4 + F.lit(48)), "__doc", "left")
     # a column of its own: in the functions below a text would be split again for each line
-    marked = marked.withColumn("__parts", F.split(F.col(text), "\n", -1))
-    joined = marked.join(gone, "__doc", "left").withColumn("__lines", F.when(F.col("__copy"), F.filter(every, lambda i: trimmed(F.get(parts, i)) != "")).otherwise(F.col("__lines")))
+    joined = joined.withColumn("__parts", F.split(F.col(text), "\n", -1))
+    joined = joined.withColumn("__lines", F.when(F.col("__copy"), F.filter(every, lambda i: F.trim(spaced(F.get(parts, i))) != "")).otherwise(F.col("__lines")))
     kept = F.transform(F.array_except(every, F.col("__lines")), lambda i: F.get(parts, i))
     return joined.withColumns({
         text: F.when(F.col("__lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),

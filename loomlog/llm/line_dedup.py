@@ -5,9 +5,10 @@ A line's tokens are what spaces separate (other white space counts as a space).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Written, frozen, release
@@ -19,7 +20,7 @@ COUNTERS = 1 << 16
 #: Bytes of a table that may be broadcast, by its rows; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Parts in which prefix tokens are joined, so that only one part's rows are on disk at a time; fewer than SLICE_ROWS are one part.
-SLICES, SLICE_ROWS = 4, 1_000_000
+SLICES, SLICE_ROWS = 5, 1_000_000
 #: The largest rarity code: it stays below the sign of a number.
 MOST_CODE = 127
 #: White space inside lines, other than the space.
@@ -150,31 +151,53 @@ def _with_earlier_match(docs: DataFrame, key: str, text: str, codes: DataFrame,
     """(cls, bits): classes that match one that occurs first at an earlier place.
 
     Pairs are never made: a semi-join keeps, of each token's classes, those that could match any other one there; a second
-    one, over those alone and with their sets, keeps those that do match an earlier one.
+    one, over those alone, those that still could by 16 bits of each token; a third one, with their sets, those that do
+    match an earlier one.
     """
     part, whole = similar
     spark = docs.sparkSession
     posted = classes.select("cls", "bits", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
 
     slices = SLICES if (classes.agg(F.sum(F.size("prefix"))).first()[0] or 0) > SLICE_ROWS else 1
-    met = []
-    for i in range(slices):
-        some = posted.where(F.pmod("token", F.lit(slices)) == i)
-        met.append(written(some.alias("a").join(some.alias("b"), _could_match("a", "b", similar), "left_semi")))
-        release(spark)
-    met = reduce(DataFrame.unionByName, met)
-    sets = written(_token_sets(docs, key, text, codes, classes.join(met.select("cls", "bits").distinct(), ["cls", "bits"], "left_semi")))
-    release(spark)
-    found = []
-    for i in range(slices):
-        some = met.where(F.pmod("token", F.lit(slices)) == i).join(sets, ["cls", "bits"]).select("token", "cls", "bits", "at", "first", "keys")  # in one order, so that one shuffle serves both sides
+
+    def candidates(i: int) -> DataFrame:
+        rows = posted.where(F.pmod("token", F.lit(slices)) == i)
+        return written(rows.alias("a").join(rows.alias("b"), _could_match("a", "b", similar), "left_semi"))
+
+    def similar_marks(met: DataFrame, sets: DataFrame) -> DataFrame:
+        # 16 bits of each token bound the number of shared ones from above: those of one set that are alike may all be shared
+        rows = met.join(sets.select("cls", "bits", "marks"), ["cls", "bits"]).select("token", "cls", "bits", "at", "marks")
+        n, n2 = F.shiftright("a.at", 32), F.shiftright("b.at", 32)
+        most = F.size(F.array_intersect("a.marks", "b.marks")) + n - F.size("a.marks")
+        near = most * (whole + part) >= (n + n2) * part
+        return written(rows.alias("a").join(rows.alias("b"), _could_match("a", "b", similar) & near, "left_semi").select("token", "cls", "bits", "at"))
+
+    def matched(met: DataFrame, sets: DataFrame) -> DataFrame:
+        # in one order of columns, so that one shuffle serves both sides
+        rows = met.join(sets.select("cls", "bits", "first", "keys"), ["cls", "bits"]).select("token", "cls", "bits", "at", "first", "keys")
         both = F.size(F.array_intersect("a.keys", "b.keys"))
         match = both * whole >= (F.size("a.keys") + F.size("b.keys") - both) * part
         # the cheap conditions come first
-        matched = some.alias("a").join(some.alias("b"), _could_match("a", "b", similar) & (F.col("b.first") < F.col("a.first")) & match, "left_semi")
-        found.append(written(matched.select("cls", "bits").distinct()))
+        earlier = _could_match("a", "b", similar) & (F.col("b.first") < F.col("a.first"))
+        return frozen(rows.alias("a").join(rows.alias("b"), earlier & match, "left_semi").select("cls", "bits").distinct())
+
+    met = reduce(DataFrame.unionByName, _one_by_one(spark, candidates, slices))
+    sets = _token_sets(docs, key, text, codes, classes.join(met.select("cls", "bits").distinct(), ["cls", "bits"], "left_semi"))
+    marks = F.array_distinct(F.transform("keys", lambda k: (k.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint")))
+    sets = written(sets.withColumn("marks", marks))
+    release(spark)
+    met = similar_marks(met, sets)
+    release(spark)
+    return matched(met, sets)
+
+
+def _one_by_one(spark: SparkSession, part: Callable[[int], DataFrame], parts: int) -> list[DataFrame]:
+    """The written parts; nothing refers to the plan of one when its shuffle files are released."""
+    out = []
+    for i in range(parts):
+        out.append(part(i))
         release(spark)
-    return reduce(DataFrame.unionByName, found).distinct()
+    return out
 
 
 def _token_sets(docs: DataFrame, key: str, text: str, codes: DataFrame, classes: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frozen(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a
-    temporary folder is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only on one machine, as in tests, a temporary folder stands in for it."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomlog-checkpoint-"))
+    context = sc._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="loomlog-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return context.getCheckpointDir().get()
+
+
+def frozen(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -33,10 +41,7 @@ class Written:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
-        context = spark.sparkContext._jsc.sc()
-        if not context.getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlog-checkpoint-"))
-        self.folder = context.getCheckpointDir().get()
+        self.folder = shared_folder(spark)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/table-{uuid.uuid4().hex}"
@@ -59,6 +64,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system; called at the end of a task, as workers are kept for other work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def fold(key: str | Column, folds: int) -> Column:
     """crc32 of the key's text, modulo ``folds`` (null keys hash as the text ``null``)."""
     key = F.col(key) if isinstance(key, str) else key

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, give_back
 
 #: Hashed features of affixes and n-grams.
 DIMENSIONS = 1 << 16
@@ -332,6 +332,8 @@ def language_column(docs: DataFrame, model: Model | None, text: str = "text") ->
             top = np.clip(sums[np.arange(len(best)), best] / np.maximum(known, 1), 0, 1)
             names = [labeller.model.languages[b] if n else "und" for b, n in zip(best, known, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(known > 0, top, 0.0), pa.float64())], names=["lang_pred", "score"])
+        del labeller
+        give_back()
 
     return identify(F.col(text))
 

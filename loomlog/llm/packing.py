@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 #: Context sizes, longest first; each is a power of two.
@@ -169,6 +171,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
                     keys, bodies, held = [], [], 0
         if keys:
             yield _block(keys, bodies, tiers, part, sequence, step, keys[0].type, key)[0]
+        keys, bodies = [], []
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

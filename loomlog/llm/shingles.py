@@ -7,6 +7,8 @@ from collections.abc import Iterable
 import numpy as np
 import xxhash
 
+from .common import give_back
+
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -25,6 +27,7 @@ _REMEMBER = 500_000
 def forget() -> None:
     """Give back what was remembered; called at the end of a task, as its worker may serve other work."""
     _WORDS.clear()
+    give_back()
 
 
 def word_hashes(text: str) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -59,8 +60,12 @@ class Written:
 
 
 def release(spark: SparkSession) -> None:
-    """Have shuffle files of finished work removed: Spark does so when the driver's garbage is collected."""
+    """Have shuffle files of finished work removed: Spark does so when the driver's garbage is collected.
+
+    Python's references to the JVM are given up by another thread: its garbage is collected once that had time to run.
+    """
     gc.collect()
+    time.sleep(0.2)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -158,37 +158,37 @@ def _with_earlier_match(docs: DataFrame, key: str, text: str, codes: DataFrame,
     spark = docs.sparkSession
     posted = classes.select("cls", "bits", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
 
-    slices = SLICES if (classes.agg(F.sum(F.size("prefix"))).first()[0] or 0) > SLICE_ROWS else 1
+    slices, halves = (SLICES, 2) if (classes.agg(F.sum(F.size("prefix"))).first()[0] or 0) > SLICE_ROWS else (1, 1)
 
     def candidates(i: int) -> DataFrame:
         rows = posted.where(F.pmod("token", F.lit(slices)) == i)
         return written(rows.alias("a").join(rows.alias("b"), _could_match("a", "b", similar), "left_semi"))
 
-    def similar_marks(met: DataFrame, sets: DataFrame) -> DataFrame:
+    def still_near(i: int) -> DataFrame:
         # 16 bits of each token bound the number of shared ones from above: those of one set that are alike may all be shared
-        rows = met.join(sets.select("cls", "bits", "marks"), ["cls", "bits"]).select("token", "cls", "bits", "at", "marks")
+        before = F.slice("prefix", 1, F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("before")
+        rows = met.where(F.pmod("token", F.lit(halves)) == i).join(sets.select("cls", "bits", "prefix", "marks"), ["cls", "bits"]).select("token", "cls", "bits", "at", before, "marks")
         n, n2 = F.shiftright("a.at", 32), F.shiftright("b.at", 32)
         most = F.size(F.array_intersect("a.marks", "b.marks")) + n - F.size("a.marks")
-        near = most * (whole + part) >= (n + n2) * part
-        return written(rows.alias("a").join(rows.alias("b"), _could_match("a", "b", similar) & near, "left_semi").select("token", "cls", "bits", "at"))
+        # two lines meet at each prefix token that they share; the first is enough. The cheap conditions come first
+        near = _could_match("a", "b", similar) & ~F.arrays_overlap("a.before", "b.before") & (most * (whole + part) >= (n + n2) * part)
+        return written(rows.alias("a").join(rows.alias("b"), near, "left_semi").select("token", "cls", "bits", "at"))
 
-    def matched(met: DataFrame, sets: DataFrame) -> DataFrame:
+    def matched(i: int) -> DataFrame:
         # in one order of columns, so that one shuffle serves both sides
-        rows = met.join(sets.select("cls", "bits", "first", "keys"), ["cls", "bits"]).select("token", "cls", "bits", "at", "first", "keys")
+        rows = close.where(F.pmod("token", F.lit(halves)) == i).join(sets.select("cls", "bits", "first", "keys"), ["cls", "bits"]).select("token", "cls", "bits", "at", "first", "keys")
         both = F.size(F.array_intersect("a.keys", "b.keys"))
         match = both * whole >= (F.size("a.keys") + F.size("b.keys") - both) * part
-        # the cheap conditions come first
         earlier = _could_match("a", "b", similar) & (F.col("b.first") < F.col("a.first"))
-        return frozen(rows.alias("a").join(rows.alias("b"), earlier & match, "left_semi").select("cls", "bits").distinct())
+        return written(rows.alias("a").join(rows.alias("b"), earlier & match, "left_semi").select("cls", "bits").distinct())
 
     met = reduce(DataFrame.unionByName, _one_by_one(spark, candidates, slices))
     sets = _token_sets(docs, key, text, codes, classes.join(met.select("cls", "bits").distinct(), ["cls", "bits"], "left_semi"))
     marks = F.array_distinct(F.transform("keys", lambda k: (k.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint")))
     sets = written(sets.withColumn("marks", marks))
     release(spark)
-    met = similar_marks(met, sets)
-    release(spark)
-    return matched(met, sets)
+    close = reduce(DataFrame.unionByName, _one_by_one(spark, still_near, halves))
+    return reduce(DataFrame.unionByName, _one_by_one(spark, matched, halves)).distinct()
 
 
 def _one_by_one(spark: SparkSession, part: Callable[[int], DataFrame], parts: int) -> list[DataFrame]:
@@ -201,13 +201,13 @@ def _one_by_one(spark: SparkSession, part: Callable[[int], DataFrame], parts: in
 
 
 def _token_sets(docs: DataFrame, key: str, text: str, codes: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, bits, first, keys) of the classes, from the lines where they occur first: only those are taken apart."""
-    asked = frozen(classes.select("cls", "bits", "first"))
+    """(cls, bits, first, prefix, keys) of the classes, from the lines where they occur first: only those are taken apart."""
+    asked = frozen(classes.select("cls", "bits", "first", "prefix"))
     where = asked.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
     texts = docs.select(document(key, text).alias("doc"), F.col(text).alias("text")).join(_sized(where.select("doc").distinct(), 16), "doc", "left_semi")
     bodies = trimmed_lines(texts, "text", F.col("doc")).join(_sized(where.distinct(), 32), ["doc", "line"], "left_semi").select("doc", "line", "body")
     keys = with_token_keys(bodies.dropDuplicates(["doc", "line"]), codes)
-    return asked.join(keys, (F.col("first.doc") == F.col("doc")) & (F.col("first.line") == F.col("line"))).select("cls", "bits", "first", "keys")
+    return asked.join(keys, (F.col("first.doc") == F.col("doc")) & (F.col("first.line") == F.col("line"))).select("cls", "bits", "first", "prefix", "keys")
 
 
 def _with_copies_marked(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -7,6 +7,8 @@ import random
 import re
 import uuid
 import zlib
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,22 +26,21 @@ TRAIN_PAGES = 2_000
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|select|object|canvas|audio|video"
-NEVER = frozenset("#head head title button option label legend input datalist dialog".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr output meter progress picture map".split())
+#: Their text is never main text, to their end tag. Without one, the first of these run to the end of the page, by the standard.
+RAW_TO_END = frozenset("script style textarea iframe".split())
+RAW = RAW_TO_END | {"template", "svg"}
+NEVER = frozenset("#head head title select option datalist dialog input".split())
+INLINE = frozenset("a abbr acronym button label math b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr output meter progress picture map".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("thead tbody tr td th", ("table",)), "body": ("head", ("html",))}
 #: Elements that group others; the rest hold text. Which of the two a child is picks its potentials with its parent.
 GROUPS = frozenset("#root html body article main section div header footer nav aside form ul ol dl table tbody thead tr figure details fieldset center hgroup".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+#: What begins with "<": a comment, a declaration or the like, or a tag up to the end of its name.
+_OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?]|/(?![a-zA-Z]))|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+))")
+_ATTRIBUTES = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+(?=>)")
 _NAMED = re.compile(r"(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _MAIN = re.compile(r"data-main=\"([01])\"")
-_HIDDEN = re.compile(r"(?:\s|^)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
-_CUT = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _PIECES = re.compile(r"[a-z]+")
 
 
@@ -74,12 +75,48 @@ def named_features(tag: str, attrs: str) -> list[int]:
     return _NAMES[key]
 
 
+def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name in lower case, whether it is an end tag, attributes) of each tag, and of each comment, declaration
+    and raw element with the name "". A position is looked at a bounded number of times, however broken the page."""
+    at, whole, ends = 0, True, {}
+    while (m := _OPEN.search(source, at)) is not None:
+        start = m.start()
+        if m["tag"] is None:
+            mark = "-->" if m["comment"] else ">"
+            end = source.find(mark, m.end() - (2 if m["comment"] else 0))
+            at = len(source) if end < 0 else end + len(mark)
+            yield start, at, "", False, ""
+            continue
+        quoted = _ATTRIBUTES.match(source, m.end()) if whole else None
+        # once quotes don't pair up to the end of the page, tags end at the next ">" whatever is quoted
+        whole = whole and quoted is not None
+        end = quoted.end() if quoted else source.find(">", m.end())
+        if end < 0:  # an unfinished tag ends the page
+            yield start, len(source), "", False, ""
+            return
+        tag, attrs, at = m["tag"].lower(), source[m.end() : end], end + 1
+        if tag in RAW and not m["end"] and not attrs.endswith("/"):
+            if tag not in ends:
+                ends[tag] = re.compile(rf"</{tag}\s*+>", re.I)
+            close = ends[tag] and ends[tag].search(source, at)
+            if close:
+                at = close.end()
+            elif tag in RAW_TO_END:
+                at = len(source)
+            ends[tag] = ends[tag] if close else None  # no other end tag follows either
+            yield start, at, "", False, ""
+            continue
+        yield start, at, tag, bool(m["end"]), attrs
+
+
 def parse(source: str | None) -> Page:
     """The tree of block elements, by a forgiving reading: unclosed elements end where the standard implies it, stray end
     tags are skipped, scripts, styles, comments and other raw elements are dropped with what they hold."""
     page = Page([-1], [0], [[feature("tag #root")]], [0], [False], [], [int((source or "").startswith("\x01"))])
-    stack, open_count = [("#root", 0, False)], {"#root": 1}  # name, block, whether it is a link
-    links, piece, chars, linked, within = 0, [], [0], [0], [0]
+    # name and block of what is open; places in it of each name, of blocks, and of links
+    stack, open_at = [("#root", 0)], defaultdict(list, {"#root": [0]})
+    blocks, links = [0], []
+    piece, chars, linked, within = [], [0], [0], [0]
     source = (source or "").removeprefix("\x01")  # a labelled page whose root is content starts with U+0001
     at = 0
 
@@ -97,63 +134,56 @@ def parse(source: str | None) -> Page:
             chars[block] += n
             linked[block] += n if links else 0
 
+    def push(name: str, block: int) -> None:
+        open_at[name].append(len(stack))
+        if name not in INLINE:
+            blocks.append(len(stack))
+        if name == "a":
+            links.append(len(stack))
+        stack.append((name, block))
+
     def pop(until: int) -> None:
-        nonlocal links
         while len(stack) > until:
-            name, _, link = stack.pop()
-            open_count[name] -= 1
-            links -= link
-
-    for m in _TOKEN.finditer(source):
-        text_in(source[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+            name, _ = stack.pop()
+            open_at[name].pop()
+            if name not in INLINE:
+                blocks.pop()
+            if name == "a":
+                links.pop()
+
+    for start, end, tag, closing, attrs in tags(source):
+        text_in(source[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m["end"]:
-            if tag in ("br", "p") and not open_count.get(tag):
-                flush()
-            elif open_count.get(tag):
-                i = len(stack) - 1
-                while stack[i][0] != tag:
-                    i -= 1
-                if tag in INLINE and any(stack[k][0] not in INLINE for k in range(i + 1, len(stack))):
+        if closing:
+            if open_at[tag]:
+                i = open_at[tag][-1]
+                if tag in INLINE and blocks[-1] > i:
                     continue  # a block inside goes on
                 if tag not in INLINE:
                     flush()
                 pop(max(i, 1))
+            elif tag in ("br", "p"):
+                flush()
             continue
-        attrs = m["attrs"]
         if tag in INLINE:
-            link = tag == "a"
-            if link and links:  # a link ends the one before
-                i = max(k for k, x in enumerate(stack) if x[2])
-                if all(x[0] in INLINE for x in stack[i:]):
-                    pop(i)
+            if tag == "a" and links and blocks[-1] < links[-1]:
+                pop(links[-1])  # a link ends the one before
             if not attrs.endswith("/"):
-                stack.append((tag, stack[-1][1], link))
-                open_count[tag] = open_count.get(tag, 0) + 1
-                links += link
+                push(tag, stack[-1][1])
             continue
         flush()
-        if tag in VOID:
+        if tag in VOID or tag in RAW:
             continue
-        if tag in CLOSES_P and open_count.get("p"):
-            i = len(stack) - 1
-            while stack[i][0] != "p":
-                i -= 1
-            pop(i)
+        if tag in CLOSES_P and open_at["p"]:
+            pop(open_at["p"][-1])
         if tag in CLOSES:
             names, scope = CLOSES[tag][0].split(), CLOSES[tag][1]
-            i = len(stack) - 1
-            lowest = None
-            while i > 0 and stack[i][0] not in scope:
-                if stack[i][0] in names:
-                    lowest = i
-                i -= 1
-            if lowest is not None:
-                pop(lowest)
+            above = max((open_at[x][-1] for x in scope if open_at[x]), default=0)
+            inside = [open_at[x][k] for x in names if (k := bisect_right(open_at[x], above)) < len(open_at[x])]
+            if inside:
+                pop(min(inside))
         above = stack[-1][1]
         block = len(page.parents)
         page.parents.append(above)
@@ -161,14 +191,13 @@ def parse(source: str | None) -> Page:
         page.features.append([*named_features(tag, attrs if "data-main" not in attrs else _MAIN.sub("", attrs)), _WITHIN[within[above]]])
         within.append(_SECTIONS.get(tag, within[above]))
         page.groups.append(0 if tag in GROUPS else 1)
-        page.never.append(page.never[above] or tag in NEVER or bool(attrs and _HIDDEN.search(attrs)))
+        page.never.append(page.never[above] or tag in NEVER)
         told = _MAIN.search(attrs)
         page.labels.append(int(told[1]) if told else page.labels[above])
         chars.append(0)
         linked.append(0)
-        stack.append((tag, block, False))
-        open_count[tag] = open_count.get(tag, 0) + 1
-    text_in(_CUT.sub("", source[at:]))
+        push(tag, block)
+    text_in(source[at:])
     flush()
     below, below_linked = [*chars], [*linked]
     for i in range(len(page.parents) - 1, 0, -1):

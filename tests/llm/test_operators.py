@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -511,6 +512,29 @@ def page_model():
     return train_pages(labelled_pages(1500))
 
 
+def test_equal_scores_go_to_smaller_ids(spark):
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(i, [1.0, float(i * 7919 % 301), -float(i), 1.0]) for i in range(300, 0, -1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [r["vec_id"] for r in nearest_neighbours(frame, F.col("vec_id") == 0, shard_vectors=50).orderBy("rank").collect()]
+    assert got == list(range(1, 21))
+
+
+def test_article_loses_no_element():
+    kept = "".join(f" <{e}>{e}</{e}>" for e in ("math", "label", "object", "noscript", "button", "audio", "video", "canvas"))
+    page = parse(f'<article><p title="The hidden cost">one</p><p class="box hidden md">two</p><svg class=i/>three{kept}<video>four<template>five</article>')
+    texts = [t for b, t in page.texts if not page.never[b]]
+    assert " ".join(texts).split() == "one two three math label object noscript button audio video canvas four five".split()
+    dropped = parse("a<script>b</script>c<style>d</style >e<svg><text>f</text></svg>g<!--h-->i<textarea>j</textarea><script>k")
+    assert "".join(t for _, t in dropped.texts) == "acegi"
+
+
+@pytest.mark.parametrize("broken", ["<x y", "<a><div>", "<b>", "<div><li>", "<tr><td>", '<a b=">"', "<svg>", "<a href='", "<!-", "<b ><div></b>", "<"])
+def test_broken_pages_take_linear_time(broken):
+    start = time.process_time()
+    parse(broken * 100_000)
+    assert time.process_time() - start < 10
+
+
 def test_held_out_pages(page_model):
     from loomlog.llm.html_tree import Forest
 

@@ -234,6 +234,8 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 20, key: str
         index = shipped.value
         points, cells = np.stack(held["vector"].to_numpy()).astype(np.float64), held["cell"].to_numpy()
         width = len(index.second)
+        # the places of the vectors' smallest keys, in order
+        smallest = held["keys"].map(min).rank(method="min").to_numpy()
         found: list[tuple] = []
         for at in range(0, len(asked), 512):
             part = asked.iloc[at : at + 512]
@@ -242,12 +244,13 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 20, key: str
             one, two = index.sums(wideq)
             scores = q @ points.T
             scores[one[:, cells // width] + two[:, cells % width] < part["limit"].to_numpy()[:, None] - 1e-9] = -np.inf
-            many = min(k + 8, len(points))
-            top = np.argpartition(-scores, many - 1, axis=1)[:, :many]
-            for i, some in enumerate(top):
-                some = some[np.isfinite(scores[i, some])]
+            at_least = -np.partition(-scores, min(k, len(points) - 1), axis=1)[:, min(k, len(points) - 1)]
+            # products of a matrix are rounded otherwise than sums of products: none within that error is left out
+            slack = 1e-12 * (np.abs(q).sum(1) * np.abs(points).max(initial=0.0))
+            for i in range(len(q)):
+                some = np.flatnonzero(np.isfinite(scores[i]) & (scores[i] >= at_least[i] - slack[i]))
                 exact = (points[some] * q[i]).sum(1)
-                for j in np.argsort(-exact, kind="stable")[: k + 1]:
+                for j in np.lexsort((smallest[some], -exact))[: k + 1]:  # ties to the smaller key
                     found.append((part["vector"].iloc[i], exact[j], held["keys"].iloc[some[j]]))
         return pd.DataFrame(found, columns=["vector", "score", "keys"]) if found else empty
 

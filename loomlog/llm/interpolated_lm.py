@@ -123,9 +123,10 @@ class Answers:
         return np.minimum(np.log2(self.context[-1] + 1.0), BUCKETS - 1).astype(np.int64)
 
     def parts(self) -> np.ndarray:
-        """Estimates of each token: uniform, then by 1-grams and longer ones (0 in an unknown context)."""
+        """Estimates of each token: uniform, then by 1-grams and longer ones; in an unknown context, the next shorter one's."""
         out = [np.full(len(self.counts[0]), 1.0 / (self.v + 1))]
-        out += [c / np.maximum(x, 1) for c, x in zip(self.counts, self.context, strict=True)]
+        for c, x in zip(self.counts, self.context, strict=True):
+            out.append(np.where(x > 0, c / np.maximum(x, 1), out[-1]))
         return np.stack(out, 1)
 
 
@@ -281,8 +282,9 @@ def interpolated_scores(docs: DataFrame, key: str = "doc_id", text: str = "text"
     learned on fold 1, and then both are counted. A token's probability is the mixture, by the frequency bucket of its
     longest context, of the relative frequencies of its n-grams and a uniform one over all known words and an unknown one.
     Null and empty texts have the end alone. Repeated rows are counted and scored as often as they occur; null keys fall
-    into the fold of the text "null"; an empty table gives no rows; without documents to learn from all estimates but the
-    uniform one are 0 and weights are equal. Words are told apart by 64-bit hashes.
+    into the fold of the text "null"; an empty table gives no rows; an estimate in an unknown context is that of the next
+    shorter n-gram, so that probabilities of all words and an unknown one sum to one; without documents to learn from all
+    estimates are uniform. Words are told apart by 64-bit hashes.
     """
     key_type = docs.schema[key].dataType.simpleString()
     buckets = 4 * parallelism(docs)

@@ -83,7 +83,8 @@ def strip_source_locations(lines: DataFrame) -> DataFrame:
     alone = F.col("line").rlike(rf"^{S}*{NS}+{scrub.SCRIPT}(?::\d+)?\z") & (F.col("line_no") > F.min("line_no").over(Window.partitionBy("log_id")))
     marked = lines.withColumn("alone", alone)
     # blank lines right before such a line belong to the white space that goes with it
-    following = F.first(F.when(~blank(F.col("line")), F.col("alone")), ignorenulls=True).over(by_log().rowsBetween(1, Window.unboundedFollowing))
+    upwards = Window.partitionBy("log_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(F.when(~blank(F.col("line")), F.col("alone")), ignorenulls=True).over(upwards)
     kept = marked.withColumn("eaten", blank(F.col("line")) & F.coalesce(following, F.lit(False))).where(~F.col("alone") & ~F.col("eaten"))
     return renumber(kept.select("log_id", "line_no", scrub.strip_locations(F.col("line")).alias("line")))
 

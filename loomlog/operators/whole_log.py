@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scrub
 from ..functions.text import ANY, B1, B2, NS, WS, B, S, blank, sub, trim
+from ..sources.lineage import frozen
 from ..sources.lines import resplit
 from .runs import in_order, mark_runs, runs_of
 
@@ -51,7 +52,7 @@ def shorten_ids(lines: DataFrame) -> DataFrame:
 
     Only lines with identifiers are joined, token by token, with the dictionary: no log's dictionary is one value.
     """
-    found = find_identifiers(lines)
+    found = frozen(find_identifiers(lines))  # read three times
     plain = found.where(F.size("found") == 0).select("log_id", "line_no", "line")
     rich = found.where(F.size("found") > 0)
     tokens = rich.select("log_id", "line_no", F.explode("found").alias("f")).select("log_id", "line_no", "f.kind", "f.ord", "f.token")
@@ -168,4 +169,8 @@ def merge_error_suffixes(lines: DataFrame) -> DataFrame:
 
 
 def deduplicate_lines(lines: DataFrame) -> DataFrame:
-    return resplit(collapse_runs(merge_error_suffixes(collapse_runs(lines))))
+    """Runs of similar lines, then of lines with one error, then of what these left, as one line each.
+
+    Each pass is cut from the one before: the second reads its input twice, and windows over windows are planned badly.
+    """
+    return resplit(collapse_runs(frozen(merge_error_suffixes(frozen(collapse_runs(lines))))))

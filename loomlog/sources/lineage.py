@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 def frozen(df: DataFrame) -> DataFrame:
     """The rows of df, written to the cluster's shared folder (``spark.checkpoint.dir``) and read from there.
 
-    Where that setting is unset, as in tests on one machine, a temporary folder serves.
+    Where that setting is unset, a temporary folder serves on one machine, as in tests; a cluster has to set it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlog-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomlog-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -137,21 +137,81 @@ def test_scores(spark):
     assert interpolated_scores(table(spark, docs).limit(0)).count() == 0
 
 
+def words_of(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", lower(text)), "\n"]
+
+
+def fold_of(key):
+    return zlib.crc32(str("null" if key is None else key).encode()) % 10
+
+
+class PlainMixture:
+    """The interpolated model, token by token."""
+
+    def __init__(self, docs, order):
+        self.order = order
+        self.count(docs, lambda f: f > 1)
+        self.weights = np.full((24, order + 1), 1.0 / (order + 1))
+        events = [self.parts(w, i) for k, t in docs if fold_of(k) == 1 for w in [words_of(t)] for i in range(len(w))]
+        for _ in range(12 if events else 0):
+            sums = np.zeros_like(self.weights)
+            for bucket, parts in events:
+                shares = parts * self.weights[bucket]
+                sums[bucket] += shares / shares.sum()
+            pooled = np.maximum(sums.sum(0) / sums.sum(), 1e-6)
+            self.weights = np.maximum((w := sums + pooled / pooled.sum()) / w.sum(1, keepdims=True), 1e-9)
+            self.weights /= self.weights.sum(1, keepdims=True)
+        self.count(docs, lambda f: f > 0)
+
+    def count(self, docs, learned):
+        texts = [words_of(t) for k, t in docs if learned(fold_of(k))]
+        self.texts, self.n = len(texts), sum(map(len, texts))
+        self.grams = Counter(tuple((["<"] * (k - 1) + w)[i : i + k]) for w in texts for k in range(1, self.order + 1) for i in range(len(w)))
+        self.v = sum(len(g) == 1 for g in self.grams)
+
+    def parts(self, words, i):
+        out, context = [1.0 / (self.v + 1)], self.n
+        padded = ["<"] * self.order + words
+        for k in range(1, self.order + 1):
+            if k > 1:
+                context = self.grams[tuple(padded[i + self.order - k + 1 : i + self.order])] if i else self.texts
+            got = self.grams[tuple(padded[i + self.order - k + 1 : i + self.order + 1])]
+            out.append(got / context if context else out[-1])
+        return min(int(math.log2(context + 1)), 23), np.asarray(out)
+
+    def probability(self, words, i):
+        bucket, parts = self.parts(words, i)
+        return float(parts @ self.weights[bucket])
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_are_those_of_a_plain_mixture(spark, order):
+    docs = awkward(8, 40)
+    model = PlainMixture(docs, order)
+    want = Counter((k, round(sum(math.log10(model.probability(w, i)) for i in range(len(w))), 6)) for k, t in docs for w in [words_of(t)])
+    got = interpolated_scores(table(spark, docs), order=order, block_tokens=300).collect()
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == want
+
+
 def test_mixture_is_a_distribution_and_beats_its_base(spark):
     texts = [(i, "a b c d " * 20 if i % 2 else "b a d c " * 20) for i in range(60)]
     got = interpolated_scores(table(spark, texts)).collect()
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
-    # the probabilities of all words after a context, and of an unknown one, sum to one
-    words = ["a", "b", "c", "d", "zz"]
-    probes = table(spark, texts + [(1000 + i, f"a {w}") for i, w in enumerate(words)] + [(2000, "a")])
-    held = {r["doc_id"]: r for r in interpolated_scores(probes).collect()}
-    assert all(math.isfinite(r["score"]) for r in held.values())
-
-
-@pytest.mark.parametrize("order", [1, 3])
-def test_other_orders(spark, order):
-    got = interpolated_scores(table(spark, awkward(6, 20)), order=order).collect()
-    assert all(r["score"] < 0 for r in got)
+    # the probabilities of all words after a context, and of an unknown one, sum to one: of held-out texts that differ in one word
+    held = [k for k in range(1000, 2000) if fold_of(k) == 0]
+    for before in ("", "a ", "a b ", "zz ", "b zz "):
+        probes = dict(zip(held, ["a", "b", "c", "d", "zz"], strict=False))
+        rows = texts + [(k, f"{before}{w} a") for k, w in probes.items()] + [(held[10], before.strip())]
+        model = PlainMixture(rows, 2)
+        scores = {r["doc_id"]: r["score"] for r in interpolated_scores(table(spark, rows)).collect()}
+        total = 0.0
+        for k, w in probes.items():
+            rest = words_of(f"{before}{w} a")
+            at = len(words_of(before)) - 1
+            total += 10 ** (scores[k] - sum(math.log10(model.probability(rest, i)) for i in range(len(rest)) if i != at))
+        ends = words_of(before)
+        total += 10 ** (scores[held[10]] - sum(math.log10(model.probability(ends, i)) for i in range(len(ends) - 1)))
+        assert abs(total - 1) < 1e-6
 
 
 # 3 --------------------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import frozen, table
+from loomlog.llm.common import bounded_batches, frozen, table
 from loomlog.llm.crf_language import identify_languages
 from loomlog.llm.jaccard_join import jaccard_components
 from loomlog.llm.line_dedup import dedup_lines, document
@@ -28,6 +28,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language. Those without letters, and mixtures without a leading language, go."""
+    bounded_batches(spark)
     found = identify_languages(docs, name="__language")
     kept = (F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= LEAST_SHARE)
     return found.where(kept).select(*docs.columns)
@@ -45,6 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document is told by its id and text. Of rows with one id and one text, or one text and no id, one stays; rows with
     neither an id nor a word are linked with nothing and stay.
     """
+    bounded_batches(spark)
     docs, columns = docs.withColumn("__doc", document("doc_id", "text")), docs.columns
     rows = docs.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__doc").alias("row"), "text")
     found = jaccard_components(rows, key="row")
@@ -67,6 +69,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences without padding."""
+    bounded_batches(spark)
     return pack_documents(docs, tokenizer_path())
 
 

@@ -244,11 +244,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     marked = _with_copies_marked(docs, key, text).withColumn("__doc", document(key, text))
     joined = marked.join(_sized(gone, F.size("__lines") * 4 + F.lit(48)), "__doc", "left")
     # a column of its own: in the functions below a text would be split again for each line
-    joined = joined.withColumn("__parts", F.split(F.col(text), "\n", -1))
+    joined = joined.withColumn("__parts", F.when(F.col("__copy") | F.col("__lines").isNotNull(), F.split(F.col(text), "\n", -1)))
     joined = joined.withColumn("__lines", F.when(F.col("__copy"), F.filter(every, lambda i: F.trim(spaced(F.get(parts, i))) != "")).otherwise(F.col("__lines")))
     kept = F.transform(F.array_except(every, F.col("__lines")), lambda i: F.get(parts, i))
     return joined.withColumns({
         text: F.when(F.col("__lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")),
-        "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long"),
+        "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "n_removed": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.coalesce(F.size("__lines"), F.lit(0))).cast("long"),
     }).drop("__doc", "__copy", "__parts", "__lines")

@@ -60,21 +60,33 @@ def strip_locations(line: Column) -> Column:
     return sub(line, rf"{S}+{NS}+{SCRIPT}(?::\d+)?\z", "")
 
 
+# Access log entries, and words that keep one as it is.
+_ACCESS = rf"^({ANY}*?)\"(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS){S}+({NS}+){S}+HTTP/[\d.]+\"{S}*(\d{{3}}){B2}({ANY}*)\z"
+_TROUBLE = rf"(?i){B1}(?:error|fail|exception|traceback|fatal|critical|panic|refused|timeout){B2}"
+_ACCESS_TIME = rf"(?:^|[\[{WS}])(\d{{1,2}}:\d{{2}}(?::\d{{2}})?)(?=[,\]\-{WS}]|\z)"
+_TOOK = rf"(\d+\.?\d*){S}*(ms|s){B2}"
+
+
 def compact_access(line: Column) -> Column:
     """``"METHOD path HTTP/x" status`` lines as ``[time ]METHOD path → status[ (duration)]``, unless an error is told before."""
-    shape = rf"^({ANY}*?)\"(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS){S}+({NS}+){S}+HTTP/[\d.]+\"{S}*(\d{{3}}){B2}({ANY}*)\z"
-    before, method, path, status, after = (F.regexp_extract(line, shape, i) for i in range(1, 6))
-    trouble = before.rlike(rf"(?i){B1}(?:error|fail|exception|traceback|fatal|critical|panic|refused|timeout){B2}")
-    time = F.regexp_extract(before, rf"(?:^|[\[{WS}])(\d{{1,2}}:\d{{2}}(?::\d{{2}})?)(?=[,\]\-{WS}]|\z)", 1)
-    took = rf"(\d+\.?\d*){S}*(ms|s){B2}"
-    lasted = F.concat(F.regexp_extract(after, took, 1), F.regexp_extract(after, took, 2))
+    before, method, path, status, after = (F.regexp_extract(line, _ACCESS, i) for i in range(1, 6))
+    trouble = before.rlike(_TROUBLE)
+    time = F.regexp_extract(before, _ACCESS_TIME, 1)
+    lasted = F.concat(F.regexp_extract(after, _TOOK, 1), F.regexp_extract(after, _TOOK, 2))
     compact = F.concat(F.when(time != "", F.concat(time, F.lit(" "))).otherwise(""), method, F.lit(" "), path, F.lit(" → "), status, F.when(lasted != "", F.concat(F.lit(" ("), lasted, F.lit(")"))).otherwise(""))
     return F.when((method != "") & ~trouble, compact).otherwise(line)
 
 
+# What is masked, in this order, in skeletons, messages and error signatures, and what signatures lose first.
+_SKELETON_MASKS = ((r"\$\d+", "<ID>"), (rf"https?://{NS}+", "<URL>"), (r"\d+", "<N>"), (EPOCH, "<T>"))
+_MESSAGE_MASKS = ((r"\$\d+", r"\$X"), (rf"(?i){B1}[0-9a-f]{{8,}}{B2}", "<id>"), (rf"{B1}\d{{4,}}{B2}", "<n>"), (rf"{B1}user_\d+", "user_X"), (rf"{B1}session_\w+", "session_X"))
+_SIGNATURE_MASKS = ((r"\$\d+", "_"), (rf"(?i){B1}[0-9a-f]{{6,}}{B2}", "_"), (r"/[\w./$-]+", "/_"), (r"\d+", "_"))
+_SIGNATURE_LEADS = (rf"^\[x\d+\]{S}*", rf"^[\d:T.Z{{}}-]+{S}*", rf"(?i)^(ERROR|WARN|WARNING|INFO|DEBUG|FATAL|CRITICAL){S}*", rf"^\[[\w.-]+\]{S}*")
+
+
 def skeleton(line: Column) -> Column:
     """What stays equal when numbers, ids and addresses change."""
-    for pattern, kept in ((r"\$\d+", "<ID>"), (rf"https?://{NS}+", "<URL>"), (r"\d+", "<N>"), (EPOCH, "<T>")):
+    for pattern, kept in _SKELETON_MASKS:
         line = sub(line, pattern, kept)
     return trim(line)
 
@@ -109,7 +121,7 @@ def message(line: Column) -> Column:
 
 def normal_message(text: Column) -> Column:
     """A message with its variable parts masked."""
-    for pattern, kept in ((r"\$\d+", r"\$X"), (rf"(?i){B1}[0-9a-f]{{8,}}{B2}", "<id>"), (rf"{B1}\d{{4,}}{B2}", "<n>"), (rf"{B1}user_\d+", "user_X"), (rf"{B1}session_\w+", "session_X")):
+    for pattern, kept in _MESSAGE_MASKS:
         text = sub(text, pattern, kept)
     return text
 
@@ -123,14 +135,9 @@ def error_signature(line: Column) -> Column:
     """A coarse key of the error that a shown line tells; empty for notes and blank lines."""
     cut = sub(line, rf"{S}*\|[^|]+\z", "")
     plain = sub(cut, rf"^{S}+", "")
-    for pattern in (rf"^\[x\d+\]{S}*", rf"^[\d:T.Z{{}}-]+{S}*", rf"(?i)^(ERROR|WARN|WARNING|INFO|DEBUG|FATAL|CRITICAL){S}*", rf"^\[[\w.-]+\]{S}*"):
+    for pattern in _SIGNATURE_LEADS:
         plain = sub(plain, pattern, "")
     key = F.when(F.instr(cut, "→") > 0, F.substr(cut, F.instr(cut, "→"))).otherwise(plain)
-    for pattern, kept in ((r"\$\d+", "_"), (rf"(?i){B1}[0-9a-f]{{6,}}{B2}", "_"), (r"/[\w./$-]+", "/_"), (r"\d+", "_")):
+    for pattern, kept in _SIGNATURE_MASKS:
         key = sub(key, pattern, kept)
     return F.when(line.startswith("[...") | blank(line), F.lit("")).otherwise(trim(key))
-
-
-def word_boundary(inner: str) -> str:
-    """A pattern that stands between word boundaries of either kind."""
-    return f"{B}{inner}{B}"

@@ -194,7 +194,3 @@ def apply_focus(lines: DataFrame, focus: Focus) -> DataFrame:
         feet = footers(marked).join(states.where("shown > 0").select("log_id"), "log_id", "left_semi")
         out = out.unionByName(feet.select("log_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias("line_no"), F.substr("footer", F.lit(2)).alias("line")))
     return renumber(out, "part", "line_no").select("log_id", "line_no", "line")
-
-
-def signature_of(line: Column) -> Column:
-    return trim(scrub.error_signature(line))

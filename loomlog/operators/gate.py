@@ -15,7 +15,7 @@ from .focus import Focus, apply_focus
 from .summary import summaries
 
 THRESHOLD, QUERY_BUDGET = 1000, 400
-#: How the tips call what an extractor would need.
+# The legend, and how the tips call what an extractor would need.
 _LEGEND = "NOTE: $1, $2 etc. are parameterized values. [x8] = collapsed lines.\n"
 _KEY = "an API key"
 

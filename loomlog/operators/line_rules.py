@@ -185,7 +185,3 @@ def merge_scattered(lines: DataFrame) -> DataFrame:
     again = F.concat("line", F.lit("\n[... above line repeated "), (F.col("n") - 1).cast("string"), F.lit(" more times ...]"))
     text = F.when(~merged, line).when(F.col("counted"), F.concat(F.lit("[x"), F.col("total").cast("string"), F.lit("] "), sub(line, counted, ""))).otherwise(again)
     return resplit(marked.where(~merged | (F.col("line_no") == F.col("head"))).select("log_id", "line_no", text.alias("line")))
-
-
-def ordered_lines() -> Column:
-    return in_order("line")

@@ -100,6 +100,7 @@ def summaries(lines: DataFrame) -> DataFrame:
         out = out.join(more, "log_id", "left")
     none = F.array().cast("array<string>")
     troubled = F.col("error").isNotNull() | F.col("warning").isNotNull()
+    # The texts of hints and headings.
     hints = F.array_compact(F.array(
         F.when(troubled, '  level: "error"                  — all errors with context'),
         F.lit('  grep: "pattern"                 — regex search'),

@@ -91,7 +91,10 @@ def _envelope_skeleton(envelope: Column) -> Column:
 
 
 def _envelope_pattern(sample: Column) -> Column:
-    """A pattern of the sample with holes for times, short ids, long hex numbers and bracketed levels."""
+    """A pattern of the sample with holes for times, short ids, long hex numbers and bracketed levels.
+
+    Fixed values: what becomes a hole, in this order.
+    """
     levels = "(?:info|error|warn(?:ing)?|debug|notice|critical)"
     text = sub(sample, r"[.*+?^${}()|\[\]\\]", r"\\$0")
     text = sub(text, _STAMP, r"\\d{1,2}:\\d{2}:\\d{2}")

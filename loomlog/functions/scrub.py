@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ANY, B1, B2, NS, WS, B, S, blank, replace_each, sub, trim
+from .text import ANY, B1, B2, NS, WS, S, blank, replace_each, sub, trim
 
 # Escape sequences and other control characters that logs lose.
 ESCAPES = r"[\x{1b}\x{9b}][\[()#;?]*(?:[0-9]{1,4}(?:;[0-9]{0,4})*)?[0-9A-ORZcf-nq-uy=><~]"

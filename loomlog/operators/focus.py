@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scrub
-from ..functions.text import blank, trim
+from ..functions.text import blank
 from ..sources.lines import by_log, renumber
 from .runs import mark_runs
 

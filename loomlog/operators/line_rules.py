@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import scrub
 from ..functions.text import ANY, B1, B2, NS, WS, S, blank, number_text, rtrim, sub, token_count
 from ..sources.lines import by_log, renumber
-from .runs import in_order, mark_runs, runs_of
+from .runs import mark_runs, runs_of
 
 # Noise that is counted when it is dropped.
 NOISE = (

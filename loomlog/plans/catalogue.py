@@ -135,21 +135,41 @@ u AS (SELECT r.log_id, line_no, CASE WHEN d.token IS NULL THEN line ELSE replace
 SELECT u.log_id, line_no, CASE WHEN d.token IS NULL THEN line ELSE replace(line, d.token, '$' || d.id) END AS line FROM u LEFT JOIN d ON d.log_id = u.log_id AND d.token = list_filter(regexp_extract_all(line, '\b[0-9a-fA-F]{{7,}}\b'), lambda t: regexp_matches(t, '[a-fA-F]'))[1]""")
 over("strip_envelope", shipped_lines, whole_log.strip_envelope, rf"SELECT log_id, line_no, CASE WHEN count(*) OVER (PARTITION BY log_id) >= 4 THEN regexp_replace(line, '^\d{{1,2}}:\d{{2}}:\d{{2}} app\[a1\] iad \[(?:info|error)\] ', '') ELSE line END AS line FROM {SHIPPED_SQL}")
 over("skeleton_runs", event_lines, lambda x: runs_of(mark_runs(x, scrub.skeleton(F.col("line")), scrub.skeleton(F.col("line")) != ""), F.min_by("line", "line_no").alias("line")).select("log_id", "line_no", "n", "line"), f"SELECT log_id, min(line_no) AS line_no, count(*) AS n, min_by(line, line_no) AS line FROM {_runs(EVENT_SQL, _SKELETON)} GROUP BY log_id, run")
-over("run_templates", event_lines, whole_log.collapse_runs, rf"""
-WITH r AS (SELECT log_id, run, line_no, line FROM {_runs(EVENT_SQL, _SKELETON)}),
+_MASKED = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\$\d+', '<ID>', 'g'), 'https?://\S+', '<URL>', 'g'), '\d+', '<N>', 'g'), '<epoch>', '<T>', 'g'))"
+_VALUE = r"'https?://\S+|\$\d+|\d+'"
+
+
+def _templates(source: str) -> str:
+    """Runs of a source's lines with one skeleton, each as one line."""
+    return rf"""
+WITH r AS (SELECT log_id, run, line_no, line FROM {_runs(source, _MASKED, f"{_MASKED} <> ''")}),
 g AS (SELECT log_id, run, min(line_no) AS line_no, count(*) AS n, min_by(line, line_no) AS line FROM r GROUP BY log_id, run),
-t AS (SELECT log_id, run, line_no, unnest(regexp_extract_all(line, '\d+')) AS tok, unnest(range(1, len(regexp_extract_all(line, '\d+')) + 1)) AS p FROM r),
-v AS (SELECT log_id, run, p, min_by(tok, line_no) AS own, count(DISTINCT tok) > 1 AS varies, string_agg(tok, ', ' ORDER BY line_no) AS vals FROM t GROUP BY log_id, run, p),
-w AS (SELECT *, sum(CASE WHEN varies THEN 1 ELSE 0 END) OVER (PARTITION BY log_id, run ORDER BY p) AS nth, sum(CASE WHEN varies THEN 1 ELSE 0 END) OVER (PARTITION BY log_id, run) AS vars FROM v),
-s AS (SELECT log_id, run, any_value(vars) AS vars, string_agg(CASE WHEN varies THEN CASE WHEN vars = 1 THEN '{{N}}' ELSE '{{N' || nth || '}}' END ELSE own END || string_split_regex(g.line, '\d+')[p + 1], '' ORDER BY p) AS body, string_agg(' | N' || CASE WHEN vars = 1 THEN '' ELSE CAST(nth AS VARCHAR) END || ' = ' || vals, '' ORDER BY p) FILTER (WHERE varies) AS lists FROM w JOIN g USING (log_id, run) GROUP BY log_id, run)
-SELECT g.log_id, g.line_no, CASE WHEN n = 1 THEN line WHEN vars = 0 THEN line || chr(10) || '[... ' || (n - 1) || ' identical lines omitted ...]' ELSE '[x' || n || '] ' || string_split_regex(line, '\d+')[1] || body || lists END AS line FROM g JOIN s USING (log_id, run)""")
-over("error_suffixes", rich_lines, whole_log.merge_error_suffixes, r"""
-WITH e AS (SELECT *, CASE WHEN length(x) >= 20 THEN x END AS err, trim(regexp_replace(p, '[:\s]+$', '')) AS before FROM (SELECT *, regexp_extract(line, '^(.*?)\b((?:[A-Z][A-Za-z]*)?(?:Error|Exception|Warning|Rejection):\s.+)$', 2) AS x, regexp_extract(line, '^(.*?)\b((?:[A-Z][A-Za-z]*)?(?:Error|Exception|Warning|Rejection):\s.+)$', 1) AS p FROM """ + RICH_SQL + r""")),
+t AS (SELECT log_id, run, line_no, CASE WHEN raw LIKE 'http%' THEN regexp_replace(raw, '[.,;:]+$', '') ELSE raw END AS tok, raw, p FROM (SELECT log_id, run, line_no, unnest(regexp_extract_all(line, {_VALUE})) AS raw, unnest(range(1, len(regexp_extract_all(line, {_VALUE})) + 1)) AS p FROM r)),
+v AS (SELECT log_id, run, p, min_by(raw, line_no) AS raw, min_by(tok, line_no) AS own, count(DISTINCT tok) > 1 AS varies, string_agg(tok, ', ' ORDER BY line_no) AS vals FROM t GROUP BY log_id, run, p),
+k AS (SELECT v.*, g.line, CASE WHEN own LIKE 'http%' THEN 'URL' ELSE 'N' END AS kind, regexp_matches(own, '^\d{{3,5}}$') AND list_contains(regexp_extract_all(g.line, '\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}:(\d+)', 1), own) AS port FROM v JOIN g USING (log_id, run)),
+w AS (SELECT *, count(*) FILTER (WHERE varies) OVER o AS nth, count(*) FILTER (WHERE varies) OVER a AS vars, count(*) FILTER (WHERE varies AND NOT port) OVER o AS told, count(*) FILTER (WHERE varies AND NOT port) OVER a AS tells FROM k WINDOW o AS (PARTITION BY log_id, run ORDER BY p), a AS (PARTITION BY log_id, run)),
+s AS (SELECT log_id, run, any_value(vars) AS vars, string_agg(CASE WHEN NOT varies THEN raw WHEN port THEN '{{port}}' ELSE '{{' || kind || CASE WHEN vars = 1 THEN '' ELSE CAST(nth AS VARCHAR) END || '}}' END || string_split_regex(line, {_VALUE})[p + 1], '' ORDER BY p) AS body, coalesce(string_agg(' | ' || kind || CASE WHEN tells = 1 THEN '' ELSE CAST(told AS VARCHAR) END || ' = ' || vals, '' ORDER BY p) FILTER (WHERE varies AND NOT port), '') AS lists FROM w GROUP BY log_id, run)
+SELECT g.log_id, g.line_no, CASE WHEN n = 1 THEN line WHEN coalesce(vars, 0) = 0 THEN line || chr(10) || '[... ' || (n - 1) || ' identical lines omitted ...]' ELSE '[x' || n || '] ' || string_split_regex(line, {_VALUE})[1] || body || lists END AS line FROM g LEFT JOIN s USING (log_id, run)"""
+
+
+def _suffixes(source: str) -> str:
+    """Lines of a source that end in one error, as one line in the place of the last."""
+    return r"""
+WITH e AS (SELECT *, CASE WHEN length(x) >= 20 THEN x END AS err, trim(regexp_replace(p, '[:\s]+$', '')) AS before FROM (SELECT *, regexp_extract(line, '^(.*?)\b((?:[A-Z][A-Za-z]*)?(?:Error|Exception|Warning|Rejection):\s.+)$', 2) AS x, regexp_extract(line, '^(.*?)\b((?:[A-Z][A-Za-z]*)?(?:Error|Exception|Warning|Rejection):\s.+)$', 1) AS p FROM """ + source + r""")),
 g AS (SELECT log_id, err, count(*) AS n, max(line_no) AS last, string_agg(before, ', ' ORDER BY line_no) AS names, bool_and(before <> '') AS named FROM e WHERE err IS NOT NULL GROUP BY log_id, err HAVING count(*) >= 3)
-SELECT e.log_id, e.line_no, CASE WHEN g.n IS NULL THEN line ELSE '[x' || n || '] ' || e.err || CASE WHEN named THEN ' — ' || names ELSE '' END END AS line FROM e LEFT JOIN g ON g.log_id = e.log_id AND g.err = e.err WHERE g.n IS NULL OR e.line_no = g.last""")
+SELECT e.log_id, e.line_no, CASE WHEN g.n IS NULL THEN line ELSE '[x' || n || '] ' || e.err || CASE WHEN named THEN ' — ' || names ELSE '' END END AS line FROM e LEFT JOIN g ON g.log_id = e.log_id AND g.err = e.err WHERE g.n IS NULL OR e.line_no = g.last"""
+
+
+def _parted(sql: str) -> str:
+    """The query's lines taken apart at line feeds, and numbered."""
+    return _dense(f"SELECT log_id, line_no, unnest(range(1, len(string_split(line, chr(10))) + 1)) AS sub, unnest(string_split(line, chr(10))) AS line FROM ({sql})", "line_no, sub")
+
+
+over("run_templates", event_lines, whole_log.collapse_runs, _templates(EVENT_SQL))
+over("error_suffixes", rich_lines, whole_log.merge_error_suffixes, _suffixes(RICH_SQL))
 over("merge_scattered", document_lines, line_rules.merge_scattered, _dense(r"SELECT log_id, line_no, unnest(range(0, 2)) AS sub, unnest([line, CASE WHEN k IS NOT NULL AND n >= 3 THEN '[... above line repeated ' || (n - 1) || ' more times ...]' END]) AS line FROM (SELECT *, count(k) OVER (PARTITION BY log_id, k) AS n, min(line_no) OVER (PARTITION BY log_id, k) AS h FROM (SELECT *, CASE WHEN trim(line) <> '' AND NOT starts_with(trim(line), '[...') AND NOT regexp_matches(line, '^\s') AND NOT regexp_matches(line, ':\s*$') THEN trim(line) END AS k FROM " + DOCUMENT_SQL + ")) WHERE k IS NULL OR n < 3 OR line_no = h", "line_no, sub").replace("AS line FROM (SELECT", "AS line FROM (SELECT", 1).replace("line FROM (SELECT log_id, line_no, unnest", "line FROM (SELECT * FROM (SELECT log_id, line_no, unnest", 1) + " WHERE line IS NOT NULL)")
-over("deduplicate_lines", event_lines, whole_log.deduplicate_lines, _dense(f"SELECT log_id, line_no, unnest(range(1, len(string_split(line, chr(10))) + 1)) AS sub, unnest(string_split(line, chr(10))) AS line FROM ({ORACLES['run_templates']})", "line_no, sub"))
-over("deduplicate_rich_lines", rich_lines, whole_log.deduplicate_lines)
+over("deduplicate_lines", event_lines, whole_log.deduplicate_lines, _parted(_templates(f"({_suffixes('(' + _templates(EVENT_SQL) + ')')})")))
+over("deduplicate_rich_lines", rich_lines, whole_log.deduplicate_lines, _parted(_templates(f"({_suffixes('(' + _templates(RICH_SQL) + ')')})")))
 over("detect_cycles", cyclic_lines, sequential.collapse_cycles, _dense(f"""
 SELECT log_id, pos AS line_no, 0 AS sub, line FROM (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY log_id) AS n FROM {CYCLIC_SQL} WINDOW w AS (PARTITION BY log_id ORDER BY line_no)) WHERE n < 6 OR pos < 3 OR pos >= n - n % 3
 UNION ALL SELECT log_id, 2, 1, '[... above 3-line block repeated ' || (count(*) // 3 - 1) || ' more times ...]' FROM {CYCLIC_SQL} GROUP BY log_id HAVING count(*) >= 6""", "line_no, sub"))
@@ -203,7 +223,27 @@ over("focus_gaps", event_lines, lambda x: with_gaps(annotate(x, Focus(level="err
 over("focus_hidden_levels", event_lines, lambda x: hidden_levels(annotate(x, Focus(level="error", skip=2, limit=5, before=2, after=1))), f"SELECT log_id, lower({_LEVEL}) AS level, count(*) AS n FROM ({_VISIBLE}) WHERE NOT visible GROUP BY 1, 2")
 _SIGNATURE = r"CASE WHEN starts_with(line, '[...') OR trim(line) = '' THEN '' ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\s*\|[^|]+$', ''), '^\s+', ''), '^\[x\d+\]\s*', ''), '^[\d:T.Z{}-]+\s*', ''), '(?i)^(ERROR|WARN|WARNING|INFO|DEBUG|FATAL|CRITICAL)\s*', ''), '\$\d+', '_', 'g'), '(?i)\b[0-9a-f]{6,}\b', '_', 'g'), '/[\w./$-]+', '/_', 'g'), '\d+', '_', 'g')) END"
 over("post_focus_dedup", event_lines, drop_similar, _dense(f"SELECT * FROM (SELECT log_id, line_no, unnest([0, 1]) AS sub, unnest([line, CASE WHEN n = 2 THEN line WHEN n > 2 THEN '[... ' || (n - 1) || ' similar lines omitted ...]' END]) AS line FROM (SELECT log_id, min(line_no) AS line_no, min_by(line, line_no) AS line, count(*) AS n FROM {_runs(EVENT_SQL, _SIGNATURE, f'length({_SIGNATURE}) > 0')} GROUP BY log_id, run)) WHERE line IS NOT NULL", "line_no, sub"))
-over("focus_answer", event_lines, lambda x: apply_focus(x, Focus(level="error", limit=5, skip=1, context=1)))
+
+
+def _answer(skip: int, limit: int, context: int) -> str:
+    """The whole answer to level "error": header, page with context and gaps, similar lines dropped, footer."""
+    return _dense(f"""
+SELECT * FROM (WITH m AS ({_MARKED}),
+v AS (SELECT *, {_LEVEL} AS level, row_number() OVER w AS pos, page OR coalesce(max(CASE WHEN page THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN {context} PRECEDING AND {context} FOLLOWING) = 1, false) AS visible, count(*) OVER (PARTITION BY log_id) AS size FROM (SELECT *, hit AND nth > {skip} AND nth <= {skip + limit} AS page FROM m) WINDOW w AS (PARTITION BY log_id ORDER BY line_no)),
+x AS (SELECT log_id, line_no, line, pos - coalesce(lag(pos) OVER w, pos) - CASE WHEN lag(pos) OVER w IS NULL THEN 0 ELSE 1 END AS gap, CASE WHEN lead(pos) OVER w IS NULL THEN size - pos ELSE 0 END AS rest FROM v WHERE visible WINDOW w AS (PARTITION BY log_id ORDER BY line_no)),
+y AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY line_no, sub) AS line_no, line FROM (SELECT log_id, line_no, 0 AS sub, {_NOTE.format('gap')} AS line FROM x WHERE gap > 0 UNION ALL SELECT log_id, line_no, 1, line FROM x UNION ALL SELECT log_id, line_no, 2, {_NOTE.format('rest')} FROM x WHERE rest > 0)),
+z AS (SELECT log_id, min(line_no) AS line_no, min_by(line, line_no) AS line, count(*) AS n FROM {_runs('y', _SIGNATURE, f'length({_SIGNATURE}) > 0')} GROUP BY log_id, run),
+h AS (SELECT log_id, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE page) AS shown FROM v GROUP BY log_id),
+c AS (SELECT log_id, CASE WHEN level = 'WARN' THEN 'warning' ELSE lower(level) END AS level, count(*) AS n FROM v WHERE NOT visible AND level IS NOT NULL GROUP BY 1, 2)
+SELECT log_id, 0 AS part, 0 AS line_no, 0 AS sub, CASE WHEN hits = 0 THEN '[no lines matched the focus filters]' WHEN shown = 0 THEN '[' || hits || ' matches found, but skip={skip} exceeds match count]' ELSE '[showing matches {skip + 1}-' || ({skip} + shown) || ' of ' || hits || ' total]' END AS line FROM h WHERE shown = 0 OR {skip} > 0 OR {skip + limit} < hits
+UNION ALL SELECT log_id, 1, line_no, 0, line FROM z
+UNION ALL SELECT log_id, 1, line_no, 1, CASE WHEN n = 2 THEN line ELSE '[... ' || (n - 1) || ' similar lines omitted ...]' END FROM z WHERE n > 1
+UNION ALL SELECT log_id, 2, 0, 0, '[filtered: ' || string_agg(c.n || ' ' || c.level, ', ' ORDER BY list_position(['debug', 'info', 'warning', 'error', 'critical', 'fatal'], c.level)) || ']' FROM c JOIN h USING (log_id) WHERE shown > 0 GROUP BY log_id)""", "part, line_no, sub")
+
+
+over("focus_answer", event_lines, lambda x: apply_focus(x, Focus(level="error", limit=5, skip=1, context=1)), _answer(1, 5, 1))
+over("focus_first_page", event_lines, lambda x: apply_focus(x, Focus(level="error", limit=2)), _answer(0, 2, 3))
+over("focus_past_the_end", event_lines, lambda x: apply_focus(x, Focus(level="error", skip=60, limit=9, context=0)), _answer(60, 9, 0))
 over("focus_none", event_lines, lambda x: apply_focus(x, Focus(contains="no such text")), f"SELECT DISTINCT log_id, CAST(0 AS BIGINT) AS line_no, '[no lines matched the focus filters]' AS line FROM {EVENT_SQL}")
 
 # Summaries ------------------------------------------------------------------------------------------------------------
@@ -213,7 +253,26 @@ over("summary_levels", event_lines, lambda x: summary.level_stats(summary.descri
 over("summary_messages", event_lines, lambda x: summary.unique_messages(summary.described(x)), f"SELECT log_id, CASE WHEN rank >= 3 THEN 'error' WHEN rank >= 2 THEN 'warning' ELSE 'other' END AS kind, norm, min_by(message, line_no) AS display, count(*) AS n, min(line_no) AS first_line, min_by(time, line_no) AS first_time, max_by(time, line_no) FILTER (WHERE time IS NOT NULL) AS last_time FROM {_DESCRIBED} WHERE level IS NOT NULL AND message IS NOT NULL GROUP BY 1, 2, 3")
 over("summary_frequent", event_lines, lambda x: summary.frequent_messages(summary.described(x)), f"SELECT log_id, CAST(row_number() OVER (PARTITION BY log_id ORDER BY n DESC, first_line) AS INT) AS place, display, n FROM (SELECT log_id, norm, min_by(message, line_no) AS display, count(*) AS n, min(line_no) AS first_line FROM {_DESCRIBED} WHERE level IS NOT NULL AND message IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY n DESC, first_line) <= 5")
 over("summary_components", event_lines, lambda x: summary.components(summary.described(x)).select("log_id", F.array_join("components", ",").alias("components")), f"SELECT log_id, string_agg(component, ',' ORDER BY component) AS components FROM (SELECT DISTINCT log_id, component FROM {_DESCRIBED} WHERE component IS NOT NULL) GROUP BY log_id")
-over("summary_text", event_lines, summary.summaries)
+
+
+def _listed(kind: str, low: int, high: int, most: int) -> str:
+    """(log_id, block): a kind's unique messages in order of appearance, as a summary lists them."""
+    return f"""SELECT log_id, chr(10) || chr(10) || '{kind.capitalize()}s:' || string_agg(chr(10) || '  ' || CASE WHEN n > 1 THEN '[x' || n || '] ' ELSE '' END || '(' || CASE WHEN first_time IS NULL THEN 'at ?' WHEN first_time = last_time THEN 'at ' || first_time ELSE first_time || '—' || last_time END || ') ' || substr(display, 1, 120), '' ORDER BY first_line) FILTER (WHERE r <= {most}) || CASE WHEN count(*) > {most} THEN chr(10) || '  ... and ' || (count(*) - {most}) || ' more unique {kind}s' ELSE '' END AS block
+FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY first_line) AS r FROM (SELECT log_id, norm, min_by(message, line_no) AS display, count(*) AS n, min(line_no) AS first_line, arg_min_null(time, line_no) AS first_time, max_by(time, line_no) FILTER (WHERE time IS NOT NULL) AS last_time FROM {_DESCRIBED} WHERE message IS NOT NULL AND rank BETWEEN {low} AND {high} GROUP BY 1, 2)) GROUP BY log_id"""
+
+
+over("summary_text", event_lines, summary.summaries, f"""
+SELECT t.log_id, 'SUMMARY (' || t.lines || ' lines)' || coalesce(chr(10) || 'Time span: ' || t.first_time || ' — ' || t.last_time, '') || coalesce(l.block, '') || coalesce(e.block, '') || coalesce(w.block, '')
+ || CASE WHEN e.block IS NULL AND w.block IS NULL THEN coalesce(f.block, '') ELSE '' END || coalesce(chr(10) || chr(10) || 'Components: ' || c.components, '') || chr(10) || chr(10) || 'Narrow with:'
+ || CASE WHEN e.block IS NOT NULL OR w.block IS NOT NULL THEN chr(10) || '  level: "error"                  — all errors with context' ELSE '' END || chr(10) || '  grep: "pattern"                 — regex search'
+ || CASE WHEN t.first_time IS NOT NULL THEN chr(10) || '  time_range: "HH:MM:SS-HH:MM:SS" — zoom into a period' ELSE '' END || CASE WHEN contains(c.components, ',') THEN chr(10) || '  component: "name"               — filter by module' ELSE '' END
+ || chr(10) || '  break_threshold: true           — bypass gate, return full output' AS text
+FROM ({ORACLES['summary_time_span']}) t
+LEFT JOIN (SELECT log_id, chr(10) || 'Levels:' || string_agg(chr(10) || '  ' || level || ': ' || n || CASE WHEN first_time IS NULL THEN '' WHEN first_time = last_time THEN ' (at ' || first_time || ')' ELSE ' (' || first_time || ' — ' || last_time || ')' END, '' ORDER BY list_position(['FATAL', 'CRITICAL', 'ERROR', 'WARN', 'WARNING', 'INFO', 'DEBUG'], level)) AS block FROM ({ORACLES['summary_levels']}) GROUP BY log_id) l USING (log_id)
+LEFT JOIN ({_listed('error', 3, 4, 20)}) e USING (log_id)
+LEFT JOIN ({_listed('warning', 2, 2, 10)}) w USING (log_id)
+LEFT JOIN (SELECT log_id, chr(10) || chr(10) || 'Frequent patterns:' || string_agg(chr(10) || '  [x' || n || '] ' || substr(display, 1, 100), '' ORDER BY place) AS block FROM ({ORACLES['summary_frequent']}) GROUP BY log_id) f USING (log_id)
+LEFT JOIN (SELECT log_id, string_agg(component, ', ' ORDER BY component) AS components FROM (SELECT DISTINCT log_id, component FROM {_DESCRIBED} WHERE component IS NOT NULL) GROUP BY log_id) c USING (log_id)""")
 
 # The whole ------------------------------------------------------------------------------------------------------------
 
@@ -234,7 +293,11 @@ def measured_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step_measures(rich_lines(spark, sf_dir))
 
 
-@query("gate_responses")
+_LONG = "'[' || tokens || ' tokens (unreduced) exceeds 40 threshold after filtering.]' || chr(10) || 'TIP: Narrow further with: time_range, grep, limit, context_level' || chr(10) || '  Or break_threshold: true to bypass.' || chr(10) || '  Setting an API key would enable query-based smart extraction.' || chr(10) || chr(10)"
+_SHORT = "'[' || tokens || ' tokens (unreduced).]' || chr(10) || chr(10)"
+
+
+@query("gate_responses", rf"SELECT log_id, CASE WHEN tokens > 40 THEN {_LONG} ELSE {_SHORT} END || text AS text FROM (SELECT log_id, text, len(regexp_extract_all(text, '\S+')) AS tokens FROM (SELECT log_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM ({_answer(0, 3, 3)}) GROUP BY log_id))")
 def gate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return respond(event_lines(spark, sf_dir), Request(focus=Focus(level="error", limit=3), reduce=False, threshold=40))
 

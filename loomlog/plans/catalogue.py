@@ -14,8 +14,8 @@ from ..operators.focus import Focus, annotate, apply_focus, drop_similar, hidden
 from ..operators.gate import Request, respond
 from ..operators.runs import mark_runs, runs_of
 from ..sources.lines import head, join_lines, rewrite_logs, split_lines, tail
-from .corpora import ALIKE_SQL, CYCLIC_SQL, DOCUMENT_SQL, EVENT_SQL, RICH_SQL, SECTION_SQL, SHIPPED_SQL, TRACE_SQL, alike_lines, cyclic_lines, document_lines, event_lines, rich_lines, section_lines, shipped_lines, trace_lines
-from .reduction import reduce_lines, scoring_sample, signal_ratio, step_measures
+from .corpora import ALIKE_SQL, CYCLIC_SQL, DOCUMENT_SQL, EVENT_SQL, PERIODIC_SQL, RICH_SQL, SECTION_SQL, SHIPPED_SQL, TRACE_SQL, alike_lines, cyclic_lines, document_lines, event_lines, periodic_lines, rich_lines, section_lines, shipped_lines, trace_lines
+from .reduction import STEPS, reduce_lines, scoring_sample, signal_ratio, step_measures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,8 +110,12 @@ over("collapse_test_status", rich_lines, line_rules.collapse_test_status, _dense
 _LAYER = r"'^(\s*=>\s+=>\s+)(pushing|exporting) layer\s+\S+\s+(\d+\.?\d*)s\s*$'"
 over("collapse_docker_layers", rich_lines, line_rules.collapse_docker_layers, _dense(rf"SELECT log_id, min(line_no) AS line_no, CASE WHEN any_value(key) <> '' AND count(*) > 1 THEN regexp_extract(min_by(line, line_no), {_LAYER}, 1) || any_value(key) || ' ' || count(*) || ' layers  ' || regexp_replace(CAST(min(took) AS VARCHAR), '\.0$', '') || 's' || CASE WHEN min(took) = max(took) THEN '' ELSE '-' || regexp_replace(CAST(max(took) AS VARCHAR), '\.0$', '') || 's' END ELSE min_by(line, line_no) END AS line FROM (SELECT *, TRY_CAST(regexp_extract(line, {_LAYER}, 3) AS DOUBLE) AS took FROM {_runs(RICH_SQL, f'regexp_extract(line, {_LAYER}, 2)', f'length(regexp_extract(line, {_LAYER}, 2)) > 0')}) GROUP BY log_id, run"))
 _S = r"'^(?:(\d{4}-\d{2}-\d{2})\s+)?(\d{1,2}:\d{2}:\d{2})\s+-\s+(\S+)\s+-\s+(INFO|WARNING|ERROR|DEBUG|WARN|CRITICAL)\s+-\s+(.*)'"
-over("compress_prefix", event_lines, line_rules.compress_prefix, f"""
-WITH p AS (SELECT log_id, line_no, line, nullif(regexp_extract(line, {_S}, 1), '') AS d, regexp_extract(line, {_S}, 2) AS t, regexp_extract(line, {_S}, 3) AS m, regexp_extract(line, {_S}, 4) AS l, regexp_extract(line, {_S}, 5) AS msg FROM {EVENT_SQL}),
+
+
+def _compressed(source: str) -> str:
+    """A source of structured lines, with dates and modules as headings."""
+    return f"""
+WITH p AS (SELECT log_id, line_no, line, nullif(regexp_extract(line, {_S}, 1), '') AS d, regexp_extract(line, {_S}, 2) AS t, regexp_extract(line, {_S}, 3) AS m, regexp_extract(line, {_S}, 4) AS l, regexp_extract(line, {_S}, 5) AS msg FROM {source}),
 q AS (SELECT *, d IS DISTINCT FROM lag(d) OVER (PARTITION BY log_id ORDER BY line_no) AS dated FROM p),
 g AS (SELECT *, count(*) OVER x AS size, min(l) OVER x = max(l) OVER x AS one, line_no = min(line_no) OVER x AS head FROM {_runs('q', 'm || coalesce(d, chr(0))').replace(' AS run', ' AS grp')} WINDOW x AS (PARTITION BY log_id, grp)),
 h AS (SELECT *, count(*) OVER y AS n, line_no = min(line_no) OVER y AS first FROM (SELECT *, sum(CASE WHEN b2 THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY line_no) AS run FROM (SELECT *, NOT coalesce(size >= 3 AND lag(grp) OVER w = grp AND lag(t) OVER w = t, false) AS b2 FROM g WINDOW w AS (PARTITION BY log_id ORDER BY line_no))) WINDOW y AS (PARTITION BY log_id, run)),
@@ -119,7 +123,10 @@ o AS (SELECT log_id, line_no, 0 AS sub, '[' || d || ']' AS line FROM h WHERE dat
  UNION ALL SELECT log_id, line_no, 1, CASE WHEN one THEN m || ' - ' || l || ':' ELSE m || ':' END FROM h WHERE size >= 3 AND head
  UNION ALL SELECT log_id, line_no, 2, '  ' || t || ':' FROM h WHERE size >= 3 AND n >= 3 AND first
  UNION ALL SELECT log_id, line_no, 3, CASE WHEN size < 3 THEN t || ' - ' || m || ' - ' || l || ' - ' || msg WHEN n >= 3 THEN '    ' || CASE WHEN one THEN msg ELSE l || ' - ' || msg END ELSE '  ' || t || ' - ' || CASE WHEN one THEN msg ELSE l || ' - ' || msg END END FROM h)
-{_dense('SELECT * FROM o', 'line_no, sub')}""")
+{_dense('SELECT * FROM o', 'line_no, sub')}"""
+
+
+over("compress_prefix", event_lines, line_rules.compress_prefix, _compressed(EVENT_SQL))
 
 # Steps over a whole log -----------------------------------------------------------------------------------------------
 
@@ -167,14 +174,69 @@ def _parted(sql: str) -> str:
 
 over("run_templates", event_lines, whole_log.collapse_runs, _templates(EVENT_SQL))
 over("error_suffixes", rich_lines, whole_log.merge_error_suffixes, _suffixes(RICH_SQL))
-over("merge_scattered", document_lines, line_rules.merge_scattered, _dense(r"SELECT log_id, line_no, unnest(range(0, 2)) AS sub, unnest([line, CASE WHEN k IS NOT NULL AND n >= 3 THEN '[... above line repeated ' || (n - 1) || ' more times ...]' END]) AS line FROM (SELECT *, count(k) OVER (PARTITION BY log_id, k) AS n, min(line_no) OVER (PARTITION BY log_id, k) AS h FROM (SELECT *, CASE WHEN trim(line) <> '' AND NOT starts_with(trim(line), '[...') AND NOT regexp_matches(line, '^\s') AND NOT regexp_matches(line, ':\s*$') THEN trim(line) END AS k FROM " + DOCUMENT_SQL + ")) WHERE k IS NULL OR n < 3 OR line_no = h", "line_no, sub").replace("AS line FROM (SELECT", "AS line FROM (SELECT", 1).replace("line FROM (SELECT log_id, line_no, unnest", "line FROM (SELECT * FROM (SELECT log_id, line_no, unnest", 1) + " WHERE line IS NOT NULL)")
+
+
+def _scattered(source: str) -> str:
+    """Equal lines of a source that stand apart, on the first one."""
+    masked = _MASKED.replace("(line,", "(body,")
+    return _parted(rf"""
+SELECT log_id, line_no, CASE WHEN NOT merged THEN line WHEN counted THEN '[x' || total || '] ' || regexp_replace(line, '^\[x\d+\]\s+', '') ELSE line || chr(10) || '[... above line repeated ' || (n - 1) || ' more times ...]' END AS line
+FROM (SELECT *, key IS NOT NULL AND n >= CASE WHEN counted THEN 2 ELSE 3 END AS merged
+FROM (SELECT *, count(key) OVER same AS n, sum(CASE WHEN counted THEN TRY_CAST(regexp_extract(line, '^\[x(\d+)\]', 1) AS BIGINT) ELSE 1 END) OVER same AS total, min(line_no) OVER same AS head
+FROM (SELECT *, nullif(CASE WHEN counted THEN {masked} WHEN usable THEN trim(line) END, '') AS key
+FROM (SELECT *, usable AND regexp_matches(trim(line), '^\[x\d+\]\s') AS counted, regexp_replace(regexp_replace(line, '^\[x\d+\]\s+', ''), '\s+\|\s+\S+\s*=\s*.+$', '') AS body
+FROM (SELECT *, trim(line) <> '' AND NOT starts_with(trim(line), '[...') AND NOT regexp_matches(line, '^\s') AND NOT regexp_matches(line, ':\s*$') AS usable FROM {source})))
+WINDOW same AS (PARTITION BY log_id, counted, key))) WHERE NOT merged OR line_no = head""")
+
+
+over("merge_scattered", document_lines, line_rules.merge_scattered, _scattered(DOCUMENT_SQL))
 over("deduplicate_lines", event_lines, whole_log.deduplicate_lines, _parted(_templates(f"({_suffixes('(' + _templates(EVENT_SQL) + ')')})")))
 over("deduplicate_rich_lines", rich_lines, whole_log.deduplicate_lines, _parted(_templates(f"({_suffixes('(' + _templates(RICH_SQL) + ')')})")))
-over("detect_cycles", cyclic_lines, sequential.collapse_cycles, _dense(f"""
-SELECT log_id, pos AS line_no, 0 AS sub, line FROM (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY log_id) AS n FROM {CYCLIC_SQL} WINDOW w AS (PARTITION BY log_id ORDER BY line_no)) WHERE n < 6 OR pos < 3 OR pos >= n - n % 3
-UNION ALL SELECT log_id, 2, 1, '[... above 3-line block repeated ' || (count(*) // 3 - 1) || ' more times ...]' FROM {CYCLIC_SQL} GROUP BY log_id HAVING count(*) >= 6""", "line_no, sub"))
+
+
+def _cycles(source: str) -> str:
+    """Blocks of a source that repeat at once: for each place the shortest block, then from block to block."""
+    return _dense(f"""
+SELECT * FROM (WITH RECURSIVE t AS MATERIALIZED (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY line_no) - 1 AS pos, line, {_MASKED} AS key FROM {source}),
+m AS (SELECT a.log_id, a.pos, size, coalesce(min(CASE WHEN b.key IS DISTINCT FROM a.key THEN a.pos END) OVER (PARTITION BY a.log_id, size ORDER BY a.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), a.pos) - a.pos AS same
+ FROM t a CROSS JOIN (SELECT unnest(range(2, 21)) AS size) LEFT JOIN t b ON b.log_id = a.log_id AND b.pos = a.pos + size),
+c AS MATERIALIZED (SELECT log_id, pos, min(size) AS size, min_by(pos + size * (1 + same // size), size) AS stop FROM m WHERE same >= CASE WHEN size = 2 THEN 4 ELSE size END GROUP BY log_id, pos),
+n AS MATERIALIZED (SELECT t.log_id, t.pos, min(c.pos) OVER (PARTITION BY t.log_id ORDER BY t.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS start FROM t LEFT JOIN c ON c.log_id = t.log_id AND c.pos = t.pos),
+x AS (SELECT c.log_id, c.pos, c.size, c.stop FROM n JOIN c ON c.log_id = n.log_id AND c.pos = n.start WHERE n.pos = 0
+ UNION ALL SELECT c.log_id, c.pos, c.size, c.stop FROM x JOIN n ON n.log_id = x.log_id AND n.pos = x.stop JOIN c ON c.log_id = n.log_id AND c.pos = n.start)
+SELECT log_id, pos AS line_no, 0 AS sub, line FROM t WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.log_id = t.log_id AND t.pos >= x.pos + x.size AND t.pos < x.stop)
+UNION ALL SELECT log_id, pos + size - 1, 1, '[... above ' || size || '-line block repeated ' || ((stop - pos) // size - 1) || ' more times ...]' FROM x)""", "line_no, sub")
+
+
+over("detect_cycles", cyclic_lines, sequential.collapse_cycles, _cycles(CYCLIC_SQL))
+over("detect_varied_cycles", periodic_lines, sequential.collapse_cycles, _cycles(PERIODIC_SQL))
 over("collapse_pip_output", rich_lines, lambda x: rewrite_logs(x, _with_install), _dense(f"SELECT log_id, line_no, line FROM {RICH_SQL} UNION ALL SELECT log_id, i - 5, ['RUN pip install -r r.txt', 'pip: a==1.0', 'pip: +1 transitive deps (b>=2)', '#9 done'][i] FROM (SELECT DISTINCT log_id FROM {RICH_SQL}), (SELECT unnest([1, 2, 3, 4]) AS i)"))
-over("fold_repeated_prefix", alike_lines, sequential.fold_repeated_prefix, _dense(f"SELECT log_id, line_no, CASE WHEN line LIKE 'fetch%' AND lag(line) OVER (PARTITION BY log_id ORDER BY line_no) LIKE 'fetch%' THEN '  ' || substr(line, 20) ELSE line END AS line FROM {ALIKE_SQL}"))
+
+
+def _start_of(a: str, b: str) -> str:
+    """What two texts start with, up to its last space, if it is long enough."""
+    same = f"substr({a}, 1, len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, i, 1) = substr({b}, i, 1) AND starts_with({b}, substr({a}, 1, i)))))"
+    cut = rf"(CASE WHEN regexp_matches({same}, '\s$') THEN {same} ELSE regexp_replace({same}, '[^ ]*$', '') END)"
+    return f"(CASE WHEN length({cut}) >= 5 AND regexp_matches({cut}, '[a-zA-Z0-9]') THEN {cut} ELSE '' END)"
+
+
+def _prefixes(source: str) -> str:
+    """Neighbouring lines of a source that start alike: for each place how far a prefix reaches, then from fold to fold."""
+    return _dense(rf"""
+SELECT * FROM (WITH RECURSIVE r AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY line_no) AS pos, line, regexp_extract(line, '^\s*') AS lead, regexp_replace(line, '^\s*', '') AS said, trim(line) = '' OR regexp_matches(trim(line), ':$|^\[\.\.\.\s') AS breaks FROM {source}),
+t AS MATERIALIZED (SELECT *, coalesce(NOT breaks AND NOT lag(breaks) OVER w AND lag(lead) OVER w = lead, false) AS goes_on FROM r WINDOW w AS (PARTITION BY log_id ORDER BY pos)),
+e AS (SELECT a.log_id, a.pos, b.pos + 1 AS stop, {_start_of('a.said', 'b.said')} AS prefix FROM t a JOIN t b ON b.log_id = a.log_id AND b.pos = a.pos + 1 AND b.goes_on
+ UNION ALL SELECT e.log_id, e.pos, e.stop + 1, {_start_of('e.prefix', 'b.said')} FROM e JOIN t b ON b.log_id = e.log_id AND b.pos = e.stop AND b.goes_on WHERE e.prefix <> ''),
+f AS (SELECT log_id, pos, max(stop) AS stop, max_by(prefix, stop) AS prefix FROM e WHERE prefix <> '' GROUP BY log_id, pos),
+c AS MATERIALIZED (SELECT f.log_id, f.pos, any_value(f.stop) AS stop, any_value(f.prefix) AS prefix FROM f JOIN t b ON b.log_id = f.log_id AND b.pos > f.pos AND b.pos < f.stop GROUP BY f.log_id, f.pos HAVING bool_and(trim(substr(b.said, length(f.prefix) + 1)) <> '')),
+n AS MATERIALIZED (SELECT t.log_id, t.pos, min(c.pos) OVER (PARTITION BY t.log_id ORDER BY t.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS start FROM t LEFT JOIN c ON c.log_id = t.log_id AND c.pos = t.pos),
+x AS (SELECT c.* FROM n JOIN c ON c.log_id = n.log_id AND c.pos = n.start WHERE n.pos = 1
+ UNION ALL SELECT c.* FROM x JOIN n ON n.log_id = x.log_id AND n.pos = x.stop JOIN c ON c.log_id = n.log_id AND c.pos = n.start)
+SELECT t.log_id, t.pos AS line_no, CASE WHEN x.pos IS NULL THEN t.line ELSE t.lead || '  ' || substr(t.said, length(x.prefix) + 1) END AS line FROM t LEFT JOIN x ON x.log_id = t.log_id AND t.pos > x.pos AND t.pos < x.stop)""")
+
+
+over("fold_repeated_prefix", alike_lines, sequential.fold_repeated_prefix, _prefixes(ALIKE_SQL))
+over("fold_event_prefixes", event_lines, sequential.fold_repeated_prefix, _prefixes(EVENT_SQL))
 over("fold_stack_traces", trace_lines, sequential.fold_stack_traces, _dense(f"""
 WITH t AS (SELECT *, line_no % 5 AS k, sum(CASE WHEN line_no % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY line_no) AS g FROM {TRACE_SQL}),
 f AS (SELECT log_id, g, row_number() OVER (PARTITION BY log_id ORDER BY g) > 1 AS again FROM t GROUP BY log_id, g HAVING count(*) FILTER (WHERE k IN (2, 3)) = 2)
@@ -210,7 +272,8 @@ over("focus_time_range", event_lines, _hits(Focus(time_range="06:30-07:15:30")),
 over("focus_any_in_range", event_lines, _hits(Focus(level="error", contains="user_3", time_range="12:00-18:00")), _ALL + f"({_RANK} >= 3 OR contains(line, 'user_3')) AND {_SECONDS} BETWEEN 43200 AND 64800")
 over("focus_not_grep", event_lines, _hits(Focus(level="warning", not_grep="value=1")), _ALL + f"{_RANK} >= 2 AND NOT regexp_matches(line, '(?i)value=1')")
 over("focus_bad_pattern", event_lines, _hits(Focus(grep="(", level="error", not_grep="[")), _ALL + f"{_RANK} >= 3")
-_MARKED = f"SELECT *, count(*) FILTER (WHERE hit) OVER (PARTITION BY log_id ORDER BY line_no) AS nth, count(*) FILTER (WHERE hit) OVER (PARTITION BY log_id) AS total FROM (SELECT *, coalesce({_RANK} >= 3, false) AS hit, {_RANK} AS rank FROM {EVENT_SQL})"
+_MARKED_IN = "SELECT *, count(*) FILTER (WHERE hit) OVER (PARTITION BY log_id ORDER BY line_no) AS nth, count(*) FILTER (WHERE hit) OVER (PARTITION BY log_id) AS total FROM (SELECT *, coalesce(" + _RANK + " >= 3, false) AS hit, " + _RANK + " AS rank FROM "
+_MARKED = f"{_MARKED_IN}{EVENT_SQL})"
 _PAGE = "hit AND nth > 2 AND nth <= 7"
 over("focus_pages", event_lines, lambda x: annotate(x, Focus(level="error", skip=2, limit=5)).where("page").select("log_id", "line_no", "nth", "total", "line"), f"SELECT log_id, line_no, nth, total, line FROM ({_MARKED}) WHERE {_PAGE}")
 _VISIBLE = f"SELECT *, page OR coalesce(max(CASE WHEN page THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) = 1, false) AS visible FROM (SELECT *, {_PAGE} AS page FROM ({_MARKED}))"
@@ -221,14 +284,16 @@ _NOTE = "'[... ' || {0} || CASE WHEN {0} = 1 THEN ' line' ELSE ' lines' END || '
 _SHOWN = f"SELECT log_id, line_no, 0 AS sub, {_NOTE.format('gap')} AS line FROM ({_GAPS}) WHERE gap > 0 UNION ALL SELECT log_id, line_no, 1, line FROM ({_GAPS}) UNION ALL SELECT log_id, line_no, 2, {_NOTE.format('rest')} FROM ({_GAPS}) WHERE rest > 0"
 over("focus_gaps", event_lines, lambda x: with_gaps(annotate(x, Focus(level="error", skip=2, limit=5, before=2, after=1))), _dense(_SHOWN, "line_no, sub"))
 over("focus_hidden_levels", event_lines, lambda x: hidden_levels(annotate(x, Focus(level="error", skip=2, limit=5, before=2, after=1))), f"SELECT log_id, lower({_LEVEL}) AS level, count(*) AS n FROM ({_VISIBLE}) WHERE NOT visible GROUP BY 1, 2")
-_SIGNATURE = r"CASE WHEN starts_with(line, '[...') OR trim(line) = '' THEN '' ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\s*\|[^|]+$', ''), '^\s+', ''), '^\[x\d+\]\s*', ''), '^[\d:T.Z{}-]+\s*', ''), '(?i)^(ERROR|WARN|WARNING|INFO|DEBUG|FATAL|CRITICAL)\s*', ''), '\$\d+', '_', 'g'), '(?i)\b[0-9a-f]{6,}\b', '_', 'g'), '/[\w./$-]+', '/_', 'g'), '\d+', '_', 'g')) END"
+_CUT = r"regexp_replace(line, '\s*\|[^|]+$', '')"
+_PLAIN = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_CUT}, '^\s+', ''), '^\[x\d+\]\s*', ''), '^[\d:T.Z{{}}-]+\s*', ''), '(?i)^(ERROR|WARN|WARNING|INFO|DEBUG|FATAL|CRITICAL)\s*', ''), '^\[[\w.-]+\]\s*', '')"
+_SIGNATURE = rf"CASE WHEN starts_with(line, '[...') OR trim(line) = '' THEN '' ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains({_CUT}, '→') THEN substr({_CUT}, strpos({_CUT}, '→')) ELSE {_PLAIN} END, '\$\d+', '_', 'g'), '(?i)\b[0-9a-f]{{6,}}\b', '_', 'g'), '/[\w./$-]+', '/_', 'g'), '\d+', '_', 'g')) END"
 over("post_focus_dedup", event_lines, drop_similar, _dense(f"SELECT * FROM (SELECT log_id, line_no, unnest([0, 1]) AS sub, unnest([line, CASE WHEN n = 2 THEN line WHEN n > 2 THEN '[... ' || (n - 1) || ' similar lines omitted ...]' END]) AS line FROM (SELECT log_id, min(line_no) AS line_no, min_by(line, line_no) AS line, count(*) AS n FROM {_runs(EVENT_SQL, _SIGNATURE, f'length({_SIGNATURE}) > 0')} GROUP BY log_id, run)) WHERE line IS NOT NULL", "line_no, sub"))
 
 
-def _answer(skip: int, limit: int, context: int) -> str:
+def _answer(skip: int, limit: int, context: int, source: str = EVENT_SQL) -> str:
     """The whole answer to level "error": header, page with context and gaps, similar lines dropped, footer."""
     return _dense(f"""
-SELECT * FROM (WITH m AS ({_MARKED}),
+SELECT * FROM (WITH m AS ({_MARKED_IN}{source})),
 v AS (SELECT *, {_LEVEL} AS level, row_number() OVER w AS pos, page OR coalesce(max(CASE WHEN page THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN {context} PRECEDING AND {context} FOLLOWING) = 1, false) AS visible, count(*) OVER (PARTITION BY log_id) AS size FROM (SELECT *, hit AND nth > {skip} AND nth <= {skip + limit} AS page FROM m) WINDOW w AS (PARTITION BY log_id ORDER BY line_no)),
 x AS (SELECT log_id, line_no, line, pos - coalesce(lag(pos) OVER w, pos) - CASE WHEN lag(pos) OVER w IS NULL THEN 0 ELSE 1 END AS gap, CASE WHEN lead(pos) OVER w IS NULL THEN size - pos ELSE 0 END AS rest FROM v WHERE visible WINDOW w AS (PARTITION BY log_id ORDER BY line_no)),
 y AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY line_no, sub) AS line_no, line FROM (SELECT log_id, line_no, 0 AS sub, {_NOTE.format('gap')} AS line FROM x WHERE gap > 0 UNION ALL SELECT log_id, line_no, 1, line FROM x UNION ALL SELECT log_id, line_no, 2, {_NOTE.format('rest')} FROM x WHERE rest > 0)),
@@ -277,16 +342,47 @@ LEFT JOIN (SELECT log_id, string_agg(component, ', ' ORDER BY component) AS comp
 # The whole ------------------------------------------------------------------------------------------------------------
 
 
-@query("reduced_logs")
+def _inside(sql: str) -> str:
+    return f"({sql})"
+
+
+#: Event lines after each step that changes any: they have no ids with letters, addresses, stamps with fractions, envelopes,
+#: noise, locations, test results, installs, layers, access entries, traces or sections, so the other steps leave them.
+_EVENT_STAGES = {13: _inside(_compressed(EVENT_SQL))}
+_EVENT_STAGES[14] = _inside(_parted(_templates(_inside(_suffixes(_inside(_templates(_EVENT_STAGES[13])))))))
+_EVENT_STAGES[15] = _inside(_cycles(_EVENT_STAGES[14]))
+_EVENT_STAGES[16] = _inside(_scattered(_EVENT_STAGES[15]))
+_EVENT_STAGES[17] = _inside(_prefixes(_EVENT_STAGES[16]))
+_REDUCED = _EVENT_STAGES[17]
+
+
+@query("reduced_logs", f"SELECT * FROM {_REDUCED}")
 def reduced_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce_lines(event_lines(spark, sf_dir))
 
 
-@query("reduced_focus")
+@query("reduced_focus", _answer(0, 5, 3, _REDUCED))
 def reduced_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
 
 
+_MEASURE = rf"SELECT log_id, {{0}} AS step_no, CAST(sum({_TOKENS}) AS BIGINT) AS tokens, count(*) AS lines, CAST(sum(length(line)) + count(*) - 1 AS BIGINT) AS chars FROM s{{1}} GROUP BY log_id"
+_STAGES = ", ".join(f"s{n} AS MATERIALIZED (SELECT * FROM {sql})" for n, sql in {
+    0: EVENT_SQL, 13: _inside(_compressed("s0")), 14: _inside(_parted(_templates(_inside(_suffixes(_inside(_templates("s13"))))))),
+    15: _inside(_cycles("s14")), 16: _inside(_scattered("s15")), 17: _inside(_prefixes("s16")),
+}.items())
+_MEASURED = " UNION ALL ".join(_MEASURE.format(n, 0 if n < 13 else min(n, 17)) for n in range(len(STEPS) + 1))
+
+
+@query("event_step_measures", f"""WITH {_STAGES}, every AS MATERIALIZED ({_MEASURED}),
+pairs AS (SELECT b.log_id, a.step_no, b.tokens AS tokens_before, b.lines AS lines_before, b.chars AS chars_before, a.tokens AS tokens_after, a.lines AS lines_after, a.chars AS chars_after FROM every b JOIN every a ON a.log_id = b.log_id AND a.step_no = b.step_no + 1
+ UNION ALL SELECT b.log_id, 0, b.tokens, b.lines, b.chars, a.tokens, a.lines, a.chars FROM every b JOIN every a ON a.log_id = b.log_id AND a.step_no = {len(STEPS)} AND b.step_no = 0)
+SELECT *, CAST({["Total", *(x.title for x in STEPS)]}[step_no + 1] AS VARCHAR) AS step, CASE WHEN tokens_before > 0 THEN round(CAST((tokens_before - tokens_after) * 100 AS DOUBLE) / tokens_before, 1) END AS tokens_saved_pct FROM pairs""")
+def measured_event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the steps saves on structured event lines."""
+    return step_measures(event_lines(spark, sf_dir))
+
+
 @query("step_measures")
 def measured_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of the steps saves, and all of them."""

@@ -46,9 +46,10 @@ RICH_LINE = f"""CASE CAST(floor(event_id / 4.0) AS BIGINT) % 14
 #: Event lines that a shipper put its own time, source and level before.
 SHIPPED_LINE = f"substr(stamp, 12, 8) || ' app[a1] iad [' || CASE WHEN event_id % 4 = 0 THEN 'error' ELSE 'info' END || '] ' || ({EVENT_LINE})"
 
-#: Blocks of three lines over and over; traces of five lines, framework frame first; sections of six lines; three lines alike
+#: Blocks of three lines over and over; blocks of two to eight lines, each for forty lines; traces of five lines, framework frame first; sections of six lines; three lines alike
 #: and a heading.
 CYCLIC_LINE = f"CASE event_id % 3 WHEN 0 THEN 'load a ' WHEN 1 THEN 'parse b ' ELSE 'store c ' END || {_ID}"
+PERIODIC_LINE = f"'step ' || substr('abcdefgh', CAST(event_id % (2 + CAST(floor(event_id / 40.0) AS BIGINT) % 7) + 1 AS INT), 1) || ' ' || {_ID}"
 TRACE_LINE = "CASE event_id % 5 WHEN 0 THEN 'Traceback (most recent call last):' WHEN 1 THEN '  File \"/srv/site-packages/uvicorn/run.py\", line 1' WHEN 2 THEN '  File \"/srv/src/app.py\", line 2' WHEN 3 THEN 'ValueError: bad' ELSE '' END"
 SECTION_LINE = f"CASE WHEN event_id % 6 = 0 THEN '==> build ' ELSE 'step ' || substr('abcdef', CAST(event_id % 6 + 1 AS INT), 1) || ' ' END || {_ID}"
 ALIKE_LINE = f"CASE WHEN event_id % 4 = 3 THEN 'next round:' ELSE 'fetch remote table t' || {_ID} END"
@@ -79,6 +80,10 @@ def cyclic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, CYCLIC_LINE)
 
 
+def periodic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir, PERIODIC_LINE)
+
+
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, TRACE_LINE)
 
@@ -97,5 +102,5 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENT_SQL, RICH_SQL, SHIPPED_SQL = _events_sql(EVENT_LINE), _events_sql(RICH_LINE), _events_sql(SHIPPED_LINE)
-CYCLIC_SQL, TRACE_SQL, SECTION_SQL, ALIKE_SQL = (_events_sql(x) for x in (CYCLIC_LINE, TRACE_LINE, SECTION_LINE, ALIKE_LINE))
+CYCLIC_SQL, PERIODIC_SQL, TRACE_SQL, SECTION_SQL, ALIKE_SQL = (_events_sql(x) for x in (CYCLIC_LINE, PERIODIC_LINE, TRACE_LINE, SECTION_LINE, ALIKE_LINE))
 DOCUMENT_SQL = "(SELECT doc_id AS log_id, CAST(i - 1 AS BIGINT) AS line_no, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)))"

@@ -11,12 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import fold, give_back
+from .common import fold, frozen, give_back
 
 #: Hashed features of affixes and n-grams.
 DIMENSIONS = 1 << 16
-#: Labelled documents to learn from: those with the smallest hashes of text. This bounds training, whatever the input.
+#: Labelled documents to learn from, of each language those with the smallest hashes of text. This bounds training, whatever the input.
 TRAIN_DOCUMENTS = 3_000
 #: Sequences cut from them, and the words that each of their parts may have.
 SEQUENCES, PART = 8_000, (3, 18)
@@ -240,17 +241,22 @@ def train(texts: list[tuple[str, str]], epochs: int = 4, batch: int = 250, rate:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", documents: int = TRAIN_DOCUMENTS) -> Model | None:
-    """Train on at most ``documents`` labelled rows: those with the smallest hashes of their text (ties may add copies).
+    """Train on at most ``documents`` labelled texts: of each language those with the smallest hashes, dealt in turn.
 
-    Rows without text or language take no part. The bound is found on hashes alone; only the sample's texts are fetched.
+    So a rare language is learned, too, and languages with few texts leave their places to others; of more languages than
+    ``documents``, the commonest. Rows without text or language take no part; a text with several languages counts for the
+    first by name. Samples are chosen on hashes alone; only their texts are fetched.
     """
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"), F.xxhash64(F.col(text), F.lit(3)).alias("h"))
-    distinct = labelled.select("h").distinct()
-    rows = distinct.orderBy("h").limit(documents).agg(F.max("h").alias("most")).collect()
-    if rows[0]["most"] is None:
-        return None
-    sample = labelled.where(F.col("h") <= rows[0]["most"]).groupBy("h").agg(F.min(F.struct("l", "t")).alias("x")).select("x.t", "x.l", "h")
-    return train([(r["t"], r["l"]) for r in sorted(sample.collect(), key=lambda r: r["h"])])
+    kinds = frozen(labelled.groupBy("h").agg(F.min("l").alias("l")))
+    counts = kinds.groupBy("l").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "l").limit(documents)
+    # of a common language about twice as many hashes as can be asked for: a window never meets more
+    low = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(2.0 * documents + 1_000) / F.col("c"))
+    few = kinds.join(F.broadcast(counts), "l").where(F.col("h").cast("double") <= low)
+    turns = few.withColumn("turn", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("turn") <= documents)
+    chosen = turns.orderBy("turn", "h").limit(documents).select("h")
+    sample = labelled.join(F.broadcast(chosen), "h", "left_semi").groupBy("h").agg(F.min(F.struct("l", "t")).alias("x")).select("x.t", "x.l", "h").collect()
+    return train([(r["t"], r["l"]) for r in sorted(sample, key=lambda r: r["h"])]) if sample else None
 
 
 class Labeller:

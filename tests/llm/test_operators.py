@@ -252,6 +252,20 @@ def test_languages(spark):
     assert train([]) is None
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    from loomlog.llm import crf_language
+
+    seen = []
+    monkeypatch.setattr(crf_language, "train", seen.append)
+    rows = [(i, f"common {i}", "xx", "s", 0) for i in range(500)] + [(500 + i, f"rare {i}", "yy", "s", 0) for i in range(3)]
+    docs = spark.createDataFrame([*rows, *rows, (900, "common 1", "zz", "s", 0), (901, "odd", None, "s", 0), (902, None, "ww", "s", 0)], DOCS)
+    crf_language.learn(docs, documents=40)
+    assert len(set(seen[0])) == 40 and sum(lang == "yy" for _, lang in seen[0]) == 3 and {lang for _, lang in seen[0]} == {"xx", "yy"}
+    crf_language.learn(docs, documents=4)
+    assert sorted(lang for _, lang in seen[1]) == ["xx", "xx", "yy", "yy"]
+    assert crf_language.learn(docs.where("doc_id > 900")) is None and len(seen) == 2
+
+
 def test_languages_of_text_without_spaces():
     from loomlog.llm.crf_language import Labeller, cuts, features, pieces
 

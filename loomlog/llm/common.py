@@ -7,6 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +78,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What workers keep from task to task, by kind of work: how to forget it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(kind: str, forget: Callable[[], None]) -> None:
+    """Say how a worker forgets what this kind of work keeps for its next task."""
+    _KEPT[kind] = forget
+
+
+def make_room() -> None:
+    """Forget what other kinds of work have kept in this worker: called at the start of a task that needs memory itself."""
+    if _KEPT:
+        for forget in _KEPT.values():
+            forget()
+        _KEPT.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Return a Python worker's freed memory to the system; called at the end of a task, as workers are kept for other work."""
     pa.default_memory_pool().release_unused()

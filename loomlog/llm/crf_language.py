@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fold, frozen, give_back
+from .common import fold, frozen, give_back, make_room
 
 #: Hashed features of affixes and n-grams.
 DIMENSIONS = 1 << 16
@@ -331,6 +331,7 @@ def language_column(docs: DataFrame, model: Model | None, text: str = "text") ->
 
     @F.arrow_udf("lang_pred string, score double")
     def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        make_room()
         labeller = Labeller(shipped.value)  # what it remembers goes with the task
         for batch in batches:
             sums, known = labeller.texts(batch.to_pylist())

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frozen, parallelism
+from .common import frozen, make_room, parallelism
 from .components import connected_components
 from .shingles import as_set_key, concatenated, forget, shingle_set
 
@@ -141,12 +141,14 @@ def _described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     schema = f"key {docs.schema[key].dataType.simpleString()}, cls long, n long, slice int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         counts, held, pending = None, 0, []
 
         def add() -> None:
             nonlocal counts, held
-            got = np.bincount((concatenated(pending, np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            counts = got if counts is None else counts + got
+            counts = np.zeros(1 << SKETCH_BITS, np.uint32) if counts is None else counts
+            for found in pending:
+                np.add.at(counts, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             pending.clear()
             held = 0
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, keep
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
@@ -184,6 +184,7 @@ def shared_tokenizer(path: str) -> WordTokenizer:
     """One per worker process and file, with the words that earlier tasks met."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
+    keep("packing", _TOKENIZERS.clear)
     return _TOKENIZERS[path]
 
 

@@ -21,7 +21,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
-_REMEMBER = 500_000
+_REMEMBER = 100_000
 
 
 def forget() -> None:

@@ -5,7 +5,9 @@ The search needs inverted lists of documents that could be similar, and only of
 1. Documents with equal sets form a class; a class is searched for once.
 2. A fixed-size sketch of shingle frequencies orders all shingles by rarity. Similar sets share one of their rarest
    shingles (prefix filter), and no set is over a fifth larger than a similar one (length filter). Classes that share a
-   prefix shingle at compatible sizes are joined into cells.
+   prefix shingle at compatible sizes are joined into cells; of few classes with a shingle, only pairs whose signatures
+   (parities of hashed shingles) don't differ in more places than similar sets can. Without this, chance meetings of
+   prefix shingles, ever more as data grow, would join most classes into one cell.
 3. In each cell, in order of size, each set searches the inverted lists of the sets before it: short lists are merged
    with a heap that skips, long ones are probed by binary search.
 4. The links' connected components are the result.
@@ -34,6 +36,10 @@ from .shingles import as_set_key, concatenated, forget, shingle_set
 SIMILAR = (80, 100)
 #: Counters of the frequency sketch and its slices; its size is the same for any input.
 SKETCH_BITS, SLICES = 23, 64
+#: Classes that share a shingle at compatible sizes, up to which all their pairs are compared by signature; more are joined in a chain.
+PAIRED = 16
+#: The least number of bits of a signature.
+LEAST_BITS = 64
 #: Prefix entries that a task holds before it passes them on.
 HELD = 2_000_000
 #: Sets that meet in one task for one cell; larger cells are searched block against block.
@@ -135,10 +141,27 @@ def _unpressed(blob: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """Parities of the number of shingles in each of 2 ** k places, about as many places as shingles."""
+    bits = max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def may_be_similar(one: bytes, two: bytes, size: int, other: int, similar: tuple[int, int] = SIMILAR) -> bool:
+    """Whether sets of these signatures and sizes can be similar: places that differ are at most the shingles that differ."""
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    while len(a) > len(b):  # a longer signature folds to half its length
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= size + other - 2 * required(size, other, similar)
+
+
 def _described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Per document: key, set key, size; besides, rows with slices of the partition's shingle counts (sketch)."""
+    """Per document: key, set key, size, signature; besides, rows with slices of the partition's shingle counts (sketch)."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {docs.schema[key].dataType.simpleString()}, cls long, n long, slice int, counts binary"
+    schema = f"key {docs.schema[key].dataType.simpleString()}, cls long, n long, sig binary, slice int, counts binary"
+    names = ["key", "cls", "n", "sig", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
@@ -155,23 +178,24 @@ def _described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
         key_type = None
         for batch in batches:
             key_type = batch.schema.field(0).type
-            classes, sizes = [], []
+            classes, sizes, signatures = [], [], []
             for body in batch.column(1):
                 found = shingle_set(body.as_py(), width)
                 classes.append(as_set_key(found))
                 sizes.append(len(found))
+                signatures.append(signature(found) if len(found) else None)
                 pending.append(found)
                 held += len(found)
                 if held > HELD:
                     add()
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["key", "cls", "n", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         forget()
         if pending:
             add()
         if counts is not None:
             blobs = [_pressed(x) for x in np.split(counts, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, key_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=["key", "cls", "n", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, key_type), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -208,29 +232,71 @@ def prefix(shingles: np.ndarray, codes: np.ndarray, similar: tuple[int, int] = S
     return shingles[order[: size - smallest_similar(size, similar) + 1]]
 
 
-def joined_neighbours(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, classes: np.ndarray, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of entries with one hash whose size ranges touch: (edges u, edges v, order, starts of runs in that order)."""
-    order = np.lexsort((high, low, hashes))
-    hashes, low, high, classes = hashes[order], low[order], high[order], classes[order]
-    if not len(hashes):
-        none = np.zeros(0, np.int64)
-        return none, none, order, none
-    new = np.r_[True, hashes[1:] != hashes[:-1]]
-    group = np.cumsum(new) - 1
-    reach = np.maximum.accumulate(high + group * (1 << 40)) - group * (1 << 40)  # the largest size so far with this hash
-    chained = ~new
-    chained[1:] &= reach[:-1] * similar[1] >= low[1:] * similar[0]
-    u, v = classes[:-1][chained[1:]], classes[1:][chained[1:]]
-    return u[u != v], v[u != v], order, np.flatnonzero(~chained)
+class Entries:
+    """Prefix entries in order of their hashes and sizes: hash, class, least and largest size, number of entries it stands for.
+
+    Entries with one hash whose size ranges touch are a run.
+    """
+
+    def __init__(self, hashes: np.ndarray, classes: np.ndarray, low: np.ndarray, high: np.ndarray, stand: np.ndarray, similar: tuple[int, int]):
+        order = np.lexsort((-stand, classes, high, low, hashes))
+        every = [x[order] for x in (hashes, classes, low, high, stand)]
+        first = np.ones(len(order), bool)  # of the copies of a document, with the largest number
+        first[1:] = np.any([x[1:] != x[:-1] for x in every[:4]], axis=0)
+        self.hashes, self.classes, self.low, self.high, self.stand = (x[first] for x in every)
+        self.similar = similar
+        new = np.ones(len(self.hashes), bool)
+        new[1:] = self.hashes[1:] != self.hashes[:-1]
+        group = np.cumsum(new) - 1
+        reach = np.maximum.accumulate(self.high + group * (1 << 40)) - group * (1 << 40)  # the largest size so far with this hash
+        new[1:] |= reach[:-1] * similar[1] < self.low[1:] * similar[0]
+        self.run = np.cumsum(new) - 1
+        self.starts = np.flatnonzero(new)
+        self.held = np.add.reduceat(self.stand, self.starts) if len(self.starts) else self.stand
+        self.many = self.held > PAIRED
+
+    def chains(self) -> np.ndarray:
+        """Edges between neighbours in runs of many entries."""
+        at = np.flatnonzero((self.run[1:] == self.run[:-1]) & self.many[self.run[1:]])
+        return _edges([(self.classes[at], self.classes[at + 1])])
+
+    def pairs(self) -> np.ndarray:
+        """All pairs of compatible sizes in runs of few entries."""
+        some = np.flatnonzero(~self.many[self.run])
+        run, size, classes = self.run[some], self.low[some], self.classes[some]
+        found = []
+        for far in range(1, min(PAIRED, len(some))):
+            at = np.flatnonzero((run[far:] == run[:-far]) & (size[:-far] * self.similar[1] >= size[far:] * self.similar[0]))
+            if not len(at):
+                break
+            found.append((classes[at], classes[at + far]))
+        return _edges(found)
+
+    def short(self) -> tuple[np.ndarray, ...]:
+        """Hashes, classes, least and largest sizes, numbers: one entry for each run of many, the others as they are."""
+        kept = ~self.many[self.run]
+        kept[self.starts] = True
+        run = self.run[kept]
+        many = self.many[run]
+        largest = np.maximum.reduceat(self.high, self.starts) if len(self.starts) else self.high
+        return self.hashes[kept], self.classes[kept], self.low[kept], np.where(many, largest[run], self.high[kept]), np.where(many, self.held[run], self.stand[kept])
+
+
+def _edges(ends: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Distinct edges, the larger end first, without loops."""
+    u, v = (concatenated((x[i] for x in ends), np.int64) for i in (0, 1))
+    return np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1)[u != v], axis=0)
 
 
 def _cell_edges(docs: DataFrame, text: str, codes: np.ndarray, width: int, similar: tuple[int, int], buckets: int) -> DataFrame:
-    """Edges (u, v) between classes that may be similar, enough of them to connect each cell.
+    """Edges (u, v, sure) between classes that may be similar: those not sure need be kept only if signatures allow it; the
+    others connect the classes of runs of many entries.
 
-    A task joins neighbours among its own entries and passes on one entry for each hash and run of sizes, so that a shingle
+    A task joins neighbours in runs of many among its own entries and passes on one entry for each such run, so that a shingle
     of very many documents arrives as a few entries a task.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(codes)
+    arrays = ("hashes", "blob", "low", "more", "stand")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, classes, sizes, held = [], [], [], 0
@@ -239,22 +305,19 @@ def _cell_edges(docs: DataFrame, text: str, codes: np.ndarray, width: int, simil
             h, c, n = concatenated(hashes, np.uint64), concatenated(classes, np.int64), concatenated(sizes, np.int64)
             for x in (hashes, classes, sizes):
                 x.clear()
-            u, v, order, starts = joined_neighbours(h, n, n, c, similar)
-            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-            h, c, n = h[order], c[order], n[order]
-            ends = np.r_[starts[1:], len(h)] - 1
-            h, c, low, high = h[starts], c[starts], n[starts], n[ends]
+            own = Entries(h, c, n, n, np.ones(len(h), np.int64), similar)
+            rows = {"bucket": [-1], "blob": [_pressed(own.chains())], **{k: [b""] for k in arrays if k != "blob"}}
+            h, c, low, high, stand = own.short()
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             by = np.lexsort((c, bucket))
-            rows = {"bucket": [-1], "blob": [_pressed(pairs)], "hashes": [b""], "low": [b""], "high": [b""]}
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             for b in range(buckets):
                 some = by[cuts[b] : cuts[b + 1]]
                 if len(some):
                     rows["bucket"].append(b)
-                    for name, array in (("hashes", h[some]), ("blob", c[some]), ("low", low[some].astype("<u4")), ("high", (high - low)[some].astype("<u4"))):
+                    for name, array in zip(arrays, (h[some], c[some], low[some].astype("<u4"), (high - low)[some].astype("<u4"), stand[some].astype("<u4")), strict=True):
                         rows[name].append(_pressed(array))
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("hashes", "blob", "low", "high")}})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in arrays}})
 
         for batch in batches:
             for body in batch.column(0):
@@ -274,19 +337,36 @@ def _cell_edges(docs: DataFrame, text: str, codes: np.ndarray, width: int, simil
 
     def across(part: pd.DataFrame) -> pd.DataFrame:
         if int(part["bucket"].iloc[0]) < 0:
-            pairs = concatenated((_unpressed(x, "<i8").reshape(-1, 2) for x in part["blob"]), np.int64).reshape(-1, 2)
+            sure, pairs = concatenated((_unpressed(x, "<i8").reshape(-1, 2) for x in part["blob"]), np.int64).reshape(-1, 2), np.zeros((0, 2), np.int64)
         else:
-            low = concatenated((_unpressed(x, "<u4") for x in part["low"]), np.uint32).astype(np.int64)
-            high = low + concatenated((_unpressed(x, "<u4") for x in part["high"]), np.uint32)
-            u, v, _, _ = joined_neighbours(concatenated((_unpressed(x, "<u8") for x in part["hashes"]), np.uint64), low, high, concatenated((_unpressed(x, "<i8") for x in part["blob"]), np.int64), similar)
-            pairs = np.stack([np.maximum(u, v), np.minimum(u, v)], 1)
-        pairs = np.unique(pairs, axis=0)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(local, "bucket int, hashes binary, blob binary, low binary, high binary")
+            low, more, stand = (concatenated((_unpressed(x, "<u4") for x in part[k]), np.uint32).astype(np.int64) for k in ("low", "more", "stand"))
+            every = Entries(concatenated((_unpressed(x, "<u8") for x in part["hashes"]), np.uint64), concatenated((_unpressed(x, "<i8") for x in part["blob"]), np.int64), low, low + more, stand, similar)
+            sure, pairs = every.chains(), every.pairs()
+        both = np.concatenate([sure, pairs])
+        return pd.DataFrame({"u": both[:, 0], "v": both[:, 1], "sure": np.arange(len(both)) < len(sure)})
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(local, "bucket int, " + ", ".join(f"{k} binary" for k in arrays))
     # a task's own edges (bucket -1) are dealt out; a bucket is one group
     rows = rows.withColumn("deal", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("blob"), F.lit(buckets))).otherwise(F.col("bucket").cast("long")))
-    return rows.groupBy("deal", "bucket").applyInPandas(across, "u long, v long")
+    found = rows.groupBy("deal", "bucket").applyInPandas(across, "u long, v long, sure boolean")
+    return found.groupBy("u", "v").agg(F.max("sure").alias("sure"))
+
+
+def _possible(edges: DataFrame, documents: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Edges (u, v) that are sure, or whose ends' signatures allow them to be similar."""
+    asked = edges.where("not sure")
+    ends = asked.select(F.col("u").alias("cls")).union(asked.select("v")).distinct()
+    signed = frozen(documents.where("n > 0").select("cls", "n", "sig").dropDuplicates(["cls"]).join(ends, "cls", "left_semi"))
+    for end in ("u", "v"):
+        asked = asked.join(signed.select(F.col("cls").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}")), end)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(x.to_pylist() for x in batch.columns[2:]), strict=True)
+            yield batch.select(["u", "v"]).filter(pa.array([may_be_similar(a, b, m, n, similar) for a, b, m, n in rows], pa.bool_()))
+
+    near = asked.select("u", "v", "sig_u", "sig_v", "n_u", "n_v").mapInArrow(compared, "u long, v long")
+    return edges.where("sure").select("u", "v").union(near)
 
 
 def _searched(sets: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
@@ -346,7 +426,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     documents = described.where("slice is null")
     classes = documents.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     buckets = 4 * parallelism(docs)
-    cells = connected_components(_cell_edges(docs, text, _sketch(described), width, similar, buckets))
+    edges = frozen(_cell_edges(docs, text, _sketch(described), width, similar, buckets))
+    cells = connected_components(_possible(edges, documents, similar))
     cells = frozen(cells.select(F.col("node").alias("cls"), F.col("root").alias("cell")).join(classes, "cls"))
     sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("blocks"))
     wanted = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))

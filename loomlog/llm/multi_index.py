@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import frozen
+from .common import frozen, parallelism
 
 #: Centroids of each half; a cell is a pair of them.
 CENTROIDS = 64
@@ -21,10 +21,13 @@ CENTROIDS = 64
 FIT_VECTORS = 20_000
 #: Of these, vectors whose exact neighbours decide how far the search goes, and the recall aimed at.
 PROBES, RECALL = 96, 0.97
-#: Distinct vectors of a shard of the index; cells are put together, or cut, to about this many.
-SHARD_VECTORS = 4_096
+#: Distinct vectors of a shard of the index; cells are put together, or cut, to about this many. Where that gives more shards than
+#: four a partition, shards are larger, up to so many times: a query is copied to each shard that it visits.
+SHARD_VECTORS, LARGER_SHARDS = 4_096, 8
 #: Distinct queries that meet a shard in one task; more of them meet copies of it.
 SHARD_QUERIES = 20_000
+#: Visits that are passed on at a time, each with its query's vector, and products that a task looks at at a time.
+HELD_VISITS, HELD_PRODUCTS = 8_192, 1 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -193,13 +196,14 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 20, key: str
         counts[row["cell"]] = row["count"]
     share = _budget(vectors, index, points[:PROBES], counts, dims, k, recall) if wide == dims else 1.0
     budget = math.ceil(share * counts.sum())
-    first, parts = _shards(counts, shard_vectors)
+    larger = -(-int(counts.sum()) // (shard_vectors * 4 * parallelism(table)))
+    first, parts = _shards(counts, shard_vectors * min(max(1, larger), LARGER_SHARDS))
     plan = spark.sparkContext.broadcast((counts, first, parts))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, (counts, first, parts) = shipped.value, plan.value
         for batch in batches:
-            one, two = index.sums(padded(batch.column(0)))
+            one, two = index.sums(padded(batch.column(1)))
             row, shard, limit = [], [], []
             for q in range(batch.num_rows):
                 seen, least, to = 0, math.inf, set()
@@ -212,7 +216,12 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 20, key: str
                 row += [q] * len(to)
                 shard += sorted(to)
                 limit += [least] * len(to)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(shard, pa.int64()), pa.array(limit, pa.float64())], names=["vector", "shard", "limit"])
+                if len(row) >= HELD_VISITS or q == batch.num_rows - 1:
+                    for at in range(0, len(row), HELD_VISITS):  # one query may visit more shards
+                        some = slice(at, at + HELD_VISITS)
+                        asks = batch.take(pa.array(row[some], pa.int64()))
+                        yield pa.RecordBatch.from_arrays([*asks.columns, pa.array(shard[some], pa.int64()), pa.array(limit[some], pa.float64())], names=["ask", "vector", "shard", "limit"])
+                    row, shard, limit = [], [], []
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first, parts = plan.value
@@ -220,15 +229,16 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 20, key: str
             cell = batch.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first[cell] + batch.column(3).to_numpy() % parts[cell], pa.int64())], names=["vector", "keys", "cell", "shard"])
 
-    asked = rows.where("asks").select("vector").distinct()
+    # equal queries are asked once, by the name of the smallest key: what is found has no vectors, however many shards find it
+    asked = frozen(rows.where("asks").groupBy("vector").agg(F.min("key").alias("ask")).select("ask", "vector").repartition(parallelism(table), "ask"))
     crowds = max(1, -(-asked.count() // SHARD_QUERIES))
     crowd = F.pmod(F.xxhash64("vector", F.lit(5)), F.lit(crowds))
-    visits = asked.mapInArrow(routed, "vector array<double>, shard long, limit double").withColumn("crowd", crowd)
+    visits = asked.mapInArrow(routed, f"ask {key_type}, vector array<double>, shard long, limit double").withColumn("crowd", crowd)
     index_rows = indexed.withColumn("salt", F.pmod(F.xxhash64("vector"), F.lit(1 << 31))).mapInArrow(placed, f"vector array<double>, keys array<{key_type}>, cell int, shard long")
     index_rows = index_rows.withColumn("crowd", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(crowds - 1).cast("long"))))
 
     def searched(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"vector": pd.Series(dtype=object), "score": pd.Series(dtype=float), "keys": pd.Series(dtype=object)})
+        empty = pd.DataFrame({"ask": pd.Series(dtype=asked["ask"].dtype), "score": pd.Series(dtype=float), "keys": pd.Series(dtype=object)})
         if asked.empty or held.empty:
             return empty
         index = shipped.value
@@ -236,9 +246,10 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 20, key: str
         width = len(index.second)
         # the places of the vectors' smallest keys, in order
         smallest = held["keys"].map(min).rank(method="min").to_numpy()
-        found: list[tuple] = []
-        for at in range(0, len(asked), 512):
-            part = asked.iloc[at : at + 512]
+        which, scored, places = [], [], []
+        step = max(1, HELD_PRODUCTS // len(points))
+        for at in range(0, len(asked), step):
+            part = asked.iloc[at : at + step]
             q = np.stack(part["vector"].to_numpy()).astype(np.float64)
             wideq = q if wide == dims else np.hstack([q, np.zeros((len(q), wide - dims))])
             one, two = index.sums(wideq)
@@ -250,13 +261,16 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 20, key: str
             for i in range(len(q)):
                 some = np.flatnonzero(np.isfinite(scores[i]) & (scores[i] >= at_least[i] - slack[i]))
                 exact = (points[some] * q[i]).sum(1)
-                for j in np.lexsort((smallest[some], -exact))[: k + 1]:  # ties to the smaller key
-                    found.append((part["vector"].iloc[i], exact[j], held["keys"].iloc[some[j]]))
-        return pd.DataFrame(found, columns=["vector", "score", "keys"]) if found else empty
-
-    hits = visits.groupBy("shard", "crowd").cogroup(index_rows.groupBy("shard", "crowd")).applyInPandas(searched, f"vector array<double>, score double, keys array<{key_type}>")
-    ranked = Window.partitionBy("vector").orderBy(F.desc("score"), "key")
-    best = hits.select("vector", "score", F.explode("keys").alias("key")).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).select("vector", "score", F.col("key").alias("vec_id"))
-    joined = rows.where("asks").select(F.col("key").alias("query_id"), "vector").join(best, "vector").where("query_id <> vec_id")
+                best = np.lexsort((smallest[some], -exact))[: k + 1]  # ties to the smaller key
+                which.append(np.full(len(best), at + i))
+                scored.append(exact[best])
+                places.append(some[best])
+        found = np.concatenate(which)
+        return pd.DataFrame({"ask": asked["ask"].take(found).to_numpy(), "score": np.concatenate(scored), "keys": held["keys"].take(np.concatenate(places)).to_numpy()})
+
+    hits = visits.groupBy("shard", "crowd").cogroup(index_rows.groupBy("shard", "crowd")).applyInPandas(searched, f"ask {key_type}, score double, keys array<{key_type}>")
+    ranked = Window.partitionBy("ask").orderBy(F.desc("score"), "key")
+    best = hits.select("ask", "score", F.explode("keys").alias("key")).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).select("ask", "score", F.col("key").alias("vec_id"))
+    joined = rows.where("asks").select(F.col("key").alias("query_id"), "vector").join(asked, "vector").select("query_id", "ask").join(best, "ask").where("query_id <> vec_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return joined.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

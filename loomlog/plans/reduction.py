@@ -87,7 +87,7 @@ def step_measures(lines: DataFrame, switches: dict[str, bool] | None = None) ->
     for i, step in enumerate(steps, 1):
         now = frozen(step.apply(now))
         stages.append(measures(now).withColumn("step_no", F.lit(i)))
-    every = fold(DataFrame.unionByName, stages)
+    every = frozen(fold(DataFrame.unionByName, stages))  # a few numbers a log, read four times: else all lines of all steps would be
     cols = ("tokens", "lines", "chars")
     after = every.where("step_no > 0").select("log_id", "step_no", *[F.col(c).alias(f"{c}_after") for c in cols])
     before = every.select("log_id", (F.col("step_no") + 1).alias("step_no"), *[F.col(c).alias(f"{c}_before") for c in cols])

@@ -16,7 +16,7 @@ from .common import Written, frozen, release
 #: Similarity, as a fraction: 100 * intersection >= 80 * union.
 SIMILAR = (80, 100)
 #: Counters of token frequencies, eight bytes each.
-COUNTERS = 1 << 16
+COUNTERS = 1 << 18
 #: Bytes of a table that may be broadcast, by its rows; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Parts in which prefix tokens are joined, so that only one part's rows are on disk at a time; fewer than SLICE_ROWS are one part.
@@ -66,34 +66,40 @@ def with_token_keys(lines: DataFrame, codes: DataFrame) -> DataFrame:
     """lines with ``keys`` for ``body``: its distinct tokens as numbers, the rarest first (rarity code, 56 bits of hash)."""
 
     def key(h: Column) -> Column:
-        return F.col("codes")[h.bitwiseAND(F.lit(COUNTERS - 1))].bitwiseOR(F.shiftrightunsigned(h, 8))
+        # never null, and said to be so: the array's type then has no nulls
+        return F.coalesce(F.col("codes")[h.bitwiseAND(F.lit(COUNTERS - 1))].bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
 
     # the codes are one value of the plan (a scalar subquery), not a column that rows carry: the optimizer puts it in place
     return lines.withColumn("codes", codes.scalar()).withColumn("keys", F.sort_array(F.transform(_token_hashes(F.col("body")), key))).drop("body", "codes")
 
 
-def _parities(keys: str) -> Column:
-    """A bitmap: for each value of six bits of a token's hash, whether the number of tokens that have it is odd."""
+def _parities(keys: str, odd: bool = False) -> Column:
+    """A bitmap: for each value of six bits of a token's hash, whether the number of tokens that have it is odd.
 
-    def bit(k: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    With ``odd``, only tokens whose seventh bit is set count: both bitmaps together tell parities of all seven bits.
+    """
 
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
+    values = 128 if odd else 64
+    # looked up: fewer operations within an array's function, which isn't compiled
+    bit = F.array(*[F.lit(0 if odd and i < 64 else (1 << i % 64) - ((1 << 64) if i % 64 == 63 else 0)).cast("long") for i in range(values)])
+    return F.coalesce(F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit[k.bitwiseAND(F.lit(values - 1))])), F.lit(0).cast("long"))
 
 
 def _could_match(a: str, b: str, similar: tuple[int, int]) -> Column:
-    """Length, positional and bitmap filters on two different classes that share a prefix token.
+    """Bitmap, positional and length filters on two different classes that share a prefix token.
 
-    Of all tokens they share, the first in order passes the positional filter if they are similar. Bitmaps of parities
-    differ in no more places than the lines differ in tokens.
+    Bitmaps of parities, 128 bits in all, differ in no more places than the lines differ in tokens. Of all tokens they
+    share, the first in order passes the positional filter if they are similar; as no more tokens are left than a line
+    has, it is a filter on lengths too. All in whole numbers: similar lines share at least part / (part + whole) of n + n2.
     """
     part, whole = similar
-    (n, pos, bits), (n2, pos2, bits2) = [(F.shiftright(f"{x}.at", 32), F.col(f"{x}.at").bitwiseAND(F.lit((1 << 32) - 1)), F.col(f"{x}.bits")) for x in (a, b)]
-    need = F.ceil(F.lit(part) * (n + n2) / F.lit(float(part + whole)) - 1e-9)
-    differ = n + n2 - 2 * need
-    other = (F.col(f"{a}.cls") != F.col(f"{b}.cls")) | (bits != bits2)
-    near = F.bit_count(bits.bitwiseXOR(bits2)) <= differ
-    return (F.col(f"{a}.token") == F.col(f"{b}.token")) & (n * whole >= n2 * part) & (n2 * whole >= n * part) & (F.least(n - pos, n2 - pos2) >= need) & near & other
+    (n, pos), (n2, pos2) = [(F.shiftright(f"{x}.at", 32), F.col(f"{x}.at").bitwiseAND(F.lit((1 << 32) - 1))) for x in (a, b)]
+    bits, odd = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("bits", "odd")]
+    differ = F.bit_count(odd) + F.bit_count(bits.bitwiseXOR(odd))
+    near = differ * (part + whole) <= (n + n2) * (whole - part)
+    left = F.least(n - pos, n2 - pos2) * (part + whole) >= (n + n2) * part
+    other = (F.col(f"{a}.cls") != F.col(f"{b}.cls")) | (bits != 0)
+    return (F.col(f"{a}.token") == F.col(f"{b}.token")) & near & left & other
 
 
 def _sized(ids: DataFrame, row_bytes: int | Column) -> DataFrame:
@@ -119,7 +125,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
     lines = written(_described(docs, key, text, codes, similar))
     release(spark)
     # combined before they are shuffled: a line that is everywhere arrives as a few rows a task
-    classes = lines.groupBy("cls", "bits", "n").agg(F.min(F.struct("key", "doc", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"))
+    classes = lines.groupBy("cls", "bits", "odd", "n").agg(F.min(F.struct("key", "doc", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"))
     classes = written(classes)
     release(spark)
     gone = _with_earlier_match(docs, key, text, codes, classes, similar, written).withColumn("gone", F.lit(True))
@@ -133,7 +139,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simi
 
 
 def _described(docs: DataFrame, key: str, text: str, codes: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Lines (key, doc, line), a class for each set of tokens (cls, bits: 128 bits of the set), its size n and its prefix.
+    """Lines (key, doc, line), a class for each set of tokens (cls, bits: 128 bits of the set; odd), its size n and its prefix.
 
     A prefix has 31 bits of each token's hash: different tokens that share them only make more candidates.
     """
@@ -143,7 +149,7 @@ def _described(docs: DataFrame, key: str, text: str, codes: DataFrame, similar:
     return with_token_keys(trimmed_lines(docs, text, F.col(key).alias("key"), document(key, text).alias("doc")), codes).select(
         "key", "doc", "line", F.xxhash64("keys").alias("cls"), size.alias("n"),
         F.transform(F.slice("keys", 1, longest), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
-        _parities("keys").alias("bits"),
+        _parities("keys").alias("bits"), _parities("keys", odd=True).alias("odd"),
     )
 
 
@@ -151,12 +157,12 @@ def _with_earlier_match(docs: DataFrame, key: str, text: str, codes: DataFrame,
     """(cls, bits): classes that match one that occurs first at an earlier place.
 
     Pairs are never made: a semi-join keeps, of each token's classes, those that could match any other one there; a second
-    one, over those alone, those that still could by 16 bits of each token; a third one, with their sets, those that do
+    one, over those alone, those that could at the first token they share; a third one, with their sets, those that do
     match an earlier one.
     """
     part, whole = similar
     spark = docs.sparkSession
-    posted = classes.select("cls", "bits", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    posted = classes.select("cls", "bits", "odd", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "bits", "odd", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
 
     slices, halves = (SLICES, 2) if (classes.agg(F.sum(F.size("prefix"))).first()[0] or 0) > SLICE_ROWS else (1, 1)
 
@@ -164,30 +170,25 @@ def _with_earlier_match(docs: DataFrame, key: str, text: str, codes: DataFrame,
         rows = posted.where(F.pmod("token", F.lit(slices)) == i)
         return written(rows.alias("a").join(rows.alias("b"), _could_match("a", "b", similar), "left_semi"))
 
-    def still_near(i: int) -> DataFrame:
-        # 16 bits of each token bound the number of shared ones from above: those of one set that are alike may all be shared
-        before = F.slice("prefix", 1, F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("before")
-        rows = met.where(F.pmod("token", F.lit(halves)) == i).join(sets.select("cls", "bits", "prefix", "marks"), ["cls", "bits"]).select("token", "cls", "bits", "at", before, "marks")
-        n, n2 = F.shiftright("a.at", 32), F.shiftright("b.at", 32)
-        most = F.size(F.array_intersect("a.marks", "b.marks")) + n - F.size("a.marks")
+    def first_shared(i: int) -> DataFrame:
         # two lines meet at each prefix token that they share; the first is enough. The cheap conditions come first
-        near = _could_match("a", "b", similar) & ~F.arrays_overlap("a.before", "b.before") & (most * (whole + part) >= (n + n2) * part)
-        return written(rows.alias("a").join(rows.alias("b"), near, "left_semi").select("token", "cls", "bits", "at"))
+        before = F.slice("prefix", 1, F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("before")
+        rows = met.where(F.pmod("token", F.lit(halves)) == i).join(classes.select("cls", "bits", "prefix"), ["cls", "bits"]).select("token", "cls", "bits", "odd", "at", before)
+        first = _could_match("a", "b", similar) & ~F.arrays_overlap("a.before", "b.before")
+        return written(rows.alias("a").join(rows.alias("b"), first, "left_semi").select("token", "cls", "bits", "odd", "at"))
 
     def matched(i: int) -> DataFrame:
         # in one order of columns, so that one shuffle serves both sides
-        rows = close.where(F.pmod("token", F.lit(halves)) == i).join(sets.select("cls", "bits", "first", "keys"), ["cls", "bits"]).select("token", "cls", "bits", "at", "first", "keys")
+        rows = close.where(F.pmod("token", F.lit(halves)) == i).join(sets, ["cls", "bits"]).select("token", "cls", "bits", "odd", "at", "first", "keys")
         both = F.size(F.array_intersect("a.keys", "b.keys"))
         match = both * whole >= (F.size("a.keys") + F.size("b.keys") - both) * part
         earlier = _could_match("a", "b", similar) & (F.col("b.first") < F.col("a.first"))
         return written(rows.alias("a").join(rows.alias("b"), earlier & match, "left_semi").select("cls", "bits").distinct())
 
     met = reduce(DataFrame.unionByName, _one_by_one(spark, candidates, slices))
-    sets = _token_sets(docs, key, text, codes, classes.join(met.select("cls", "bits").distinct(), ["cls", "bits"], "left_semi"))
-    marks = F.array_distinct(F.transform("keys", lambda k: (k.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("smallint")))
-    sets = written(sets.withColumn("marks", marks))
+    close = reduce(DataFrame.unionByName, _one_by_one(spark, first_shared, halves))
+    sets = written(_token_sets(docs, key, text, codes, classes.join(close.select("cls", "bits").distinct(), ["cls", "bits"], "left_semi")))
     release(spark)
-    close = reduce(DataFrame.unionByName, _one_by_one(spark, still_near, halves))
     return reduce(DataFrame.unionByName, _one_by_one(spark, matched, halves)).distinct()
 
 
@@ -201,13 +202,13 @@ def _one_by_one(spark: SparkSession, part: Callable[[int], DataFrame], parts: in
 
 
 def _token_sets(docs: DataFrame, key: str, text: str, codes: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, bits, first, prefix, keys) of the classes, from the lines where they occur first: only those are taken apart."""
-    asked = frozen(classes.select("cls", "bits", "first", "prefix"))
+    """(cls, bits, first, keys) of the classes, from the lines where they occur first: only those are taken apart."""
+    asked = frozen(classes.select("cls", "bits", "first"))
     where = asked.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
     texts = docs.select(document(key, text).alias("doc"), F.col(text).alias("text")).join(_sized(where.select("doc").distinct(), 16), "doc", "left_semi")
     bodies = trimmed_lines(texts, "text", F.col("doc")).join(_sized(where.distinct(), 32), ["doc", "line"], "left_semi").select("doc", "line", "body")
     keys = with_token_keys(bodies.dropDuplicates(["doc", "line"]), codes)
-    return asked.join(keys, (F.col("first.doc") == F.col("doc")) & (F.col("first.line") == F.col("line"))).select("cls", "bits", "first", "prefix", "keys")
+    return asked.join(keys, (F.col("first.doc") == F.col("doc")) & (F.col("first.line") == F.col("line"))).select("cls", "bits", "first", "keys")
 
 
 def _with_copies_marked(docs: DataFrame, key: str, text: str) -> DataFrame:

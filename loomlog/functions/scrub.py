@@ -10,12 +10,13 @@ from .text import ANY, B1, B2, NS, WS, S, blank, replace_each, sub, trim
 # Escape sequences and other control characters that logs lose.
 ESCAPES = r"[\x{1b}\x{9b}][\[()#;?]*(?:[0-9]{1,4}(?:;[0-9]{0,4})*)?[0-9A-ORZcf-nq-uy=><~]"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+_UNPRINTED = r"[\x00-\x08\x0b-\x1f\x7f\x{9b}]"
 
 # Time stamps that are cut to their time of day, and epoch milliseconds.
 ISO_STAMP = r"\d{4}-\d{2}-\d{2}T(\d{2}:\d{2}:\d{2})(?:\.\d{1,9})?(?:Z|[+-]\d{2}:?\d{2})?"
 LOG_STAMP = rf"\d{{4}}-\d{{2}}-\d{{2}}{S}+(\d{{2}}:\d{{2}}:\d{{2}})[.,]\d{{1,6}}"
 EPOCH_STAMP = rf"{B1}1[5-9]\d{{11}}{B2}"
-SYSLOG_STAMP = rf"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec){S}+\d{{1,2}}{S}+(\d{{2}}:\d{{2}}:\d{{2}})"
+SYSLOG_STAMP = rf"(?=[ADFJMNOS])(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec){S}+\d{{1,2}}{S}+(\d{{2}}:\d{{2}}:\d{{2}})"
 EPOCH = "<epoch>"
 
 URL = rf"(?:https?|wss?)://[^{WS})>\]\"']+"
@@ -32,7 +33,7 @@ def strip_controls(line: Column, last: Column) -> Column:
     """Without escape sequences, carriage returns (but before a line feed: the end of any but the last line) and controls."""
     clean = sub(line, ESCAPES, "")
     clean = F.when(last, F.replace(clean, F.lit("\r"), F.lit(""))).otherwise(sub(clean, r"\r(?!\z)", ""))
-    return sub(clean, CONTROLS, "")
+    return F.when(line.rlike(_UNPRINTED), sub(clean, CONTROLS, "")).otherwise(line)
 
 
 def shorten_url(url: Column) -> Column:
@@ -56,8 +57,8 @@ def simplify_stamps(line: Column) -> Column:
 
 def strip_locations(line: Column) -> Column:
     """Without a script location before a tag, and without one at the end."""
-    line = sub(line, rf"^({S}*){NS}+{SCRIPT}{S}+(?=\[)", "$1")
-    return sub(line, rf"{S}+{NS}+{SCRIPT}(?::\d+)?\z", "")
+    cut = sub(line, rf"^({S}*){NS}+{SCRIPT}{S}+(?=\[)", "$1")
+    return F.when(line.rlike(SCRIPT), sub(cut, rf"{S}+{NS}+{SCRIPT}(?::\d+)?\z", "")).otherwise(line)
 
 
 # Access log entries, and words that keep one as it is.
@@ -74,7 +75,7 @@ def compact_access(line: Column) -> Column:
     time = F.regexp_extract(before, _ACCESS_TIME, 1)
     lasted = F.concat(F.regexp_extract(after, _TOOK, 1), F.regexp_extract(after, _TOOK, 2))
     compact = F.concat(F.when(time != "", F.concat(time, F.lit(" "))).otherwise(""), method, F.lit(" "), path, F.lit(" → "), status, F.when(lasted != "", F.concat(F.lit(" ("), lasted, F.lit(")"))).otherwise(""))
-    return F.when((method != "") & ~trouble, compact).otherwise(line)
+    return F.when(line.contains("HTTP/") & (method != "") & ~trouble, compact).otherwise(line)
 
 
 # What is masked, in this order, in skeletons, messages and error signatures, and what signatures lose first.

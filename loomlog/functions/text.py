@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 #: Inside a character class: white space.
 WS = r" \t\n\x0B\f\r\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-#: White space, its opposite, any character of a line.
-S, NS, ANY = f"[{WS}]", f"[^{WS}]", r"[^\n\r\x{2028}\x{2029}]"
+#: White space, its opposite, any character of a line. Java tries a class's parts one by one: printable ASCII is told by the first.
+S, NS, ANY = rf"[\x00-\x20\x7f-\x{{ffff}}&&[{WS}]]", rf"[\x21-\x7e[^{WS}]]", r"[\x20-\x7e[^\n\r\x{2028}\x{2029}]]"
 #: Word boundaries before and after a word character, and of either kind (ASCII words).
-B1, B2 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-B = rf"(?:{B1}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_]){B2})"
+B1, B2 = r"(?<!\w)", r"(?!\w)"
+B = rf"(?:{B1}(?=\w)|(?<=\w){B2})"
 
 
 def sub(text: Column, pattern: str, replacement: str) -> Column:

@@ -25,7 +25,7 @@ NOISE = (
     rf"^INFO:{S}+connection (?:open|closed){S}*\z",
     r"Download the React DevTools",
     rf"^{S}*(?:\(\w+\)|[a-zA-Z_$][\w$]*){S}+@{S}*(?:{NS}+\.\w+:\d+)?{S}*\z",
-    r"[━░▓█▒■⣿⠿]{4,}",
+    r"[\x{2501}-\x{28ff}&&[━░▓█▒■⣿⠿]]{4,}",
     rf"\[#+{S}*\]{S}*\d+%",
     rf"=>{S}+\[internal\]{S}+load{S}+(?:build definition|\.dockerignore)",
     rf"=>{S}+=>{S}+transferring (?:dockerfile|context):",
@@ -33,6 +33,8 @@ NOISE = (
     rf"\[notice\]{S}+A new release of pip is available",
     rf"\[notice\]{S}+To update, run: pip install --upgrade pip",
 )
+# What a line holds wherever one of them matches, after a look at a single character.
+NOISE_HINT = r"(?=[/@=\[hHkKeEmMcCgGR\x{2501}-\x{28ff}])(?:/|@|=>|\[#|\[notice\]|React DevTools|[\x{2501}-\x{28ff}]{4}|(?i:health|heartbeat|keep-?alive|emitting|metric|connection|gc))"
 # Lines that go without a trace.
 SILENT = (
     rf"^{S}*\d{{1,2}}:\d{{2}}:\d{{2}}{S}*\z",
@@ -40,6 +42,7 @@ SILENT = (
     rf"^[^a-zA-Z0-9]*[=~]{{4,}}{S}*\z",
     rf"[-=] [=~]{{10,}}{S}*\z",
 )
+SILENT_HINT = rf"@|[=~]{{4}}|^{S}*\d{{1,2}}:\d{{2}}:\d{{2}}{S}*\z"
 # Lines of passed tests.
 PASSED = (rf"^PASS{S}+{NS}+(?:{S}+\([\d.]+s\))?{S}*\z", rf"^ok{S}+{NS}+{S}+[\d.]+s{S}*\z", rf"^PASSED{S}+{NS}+")
 # Separators, and structured lines ([date ]time - module - level - message).
@@ -48,9 +51,10 @@ STRUCTURED = rf"^(?:(\d{{4}}-\d{{2}}-\d{{2}}){S}+)?(\d{{1,2}}:\d{{2}}:\d{{2}}){S
 LAYER = rf"^({S}*=>{S}+=>{S}+)(pushing|exporting) layer{S}+{NS}+{S}+(\d+\.?\d*)s{S}*\z"
 
 
-def any_of(line: Column, patterns: tuple[str, ...]) -> Column:
-    """One alternation: each pattern keeps its own flags."""
-    return line.rlike("|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns))
+def any_of(line: Column, patterns: tuple[str, ...], hint: str | None = None) -> Column:
+    """One alternation: each pattern keeps its own flags. The hint is a cheap pattern that fits wherever one of them does."""
+    found = line.rlike("|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns))
+    return found if hint is None else line.rlike(hint) & found
 
 
 def strip_ansi(lines: DataFrame) -> DataFrame:
@@ -80,7 +84,7 @@ def simplify_timestamps(lines: DataFrame) -> DataFrame:
 
 def strip_source_locations(lines: DataFrame) -> DataFrame:
     """Script locations before a tag and at the end are dropped; a line (but the first) that is only one goes as a whole."""
-    alone = F.col("line").rlike(rf"^{S}*{NS}+{scrub.SCRIPT}(?::\d+)?\z") & (F.col("line_no") > F.min("line_no").over(Window.partitionBy("log_id")))
+    alone = F.col("line").rlike(scrub.SCRIPT) & F.col("line").rlike(rf"^{S}*{NS}+{scrub.SCRIPT}(?::\d+)?\z") & (F.col("line_no") > F.min("line_no").over(Window.partitionBy("log_id")))
     marked = lines.withColumn("alone", alone)
     # blank lines right before such a line belong to the white space that goes with it
     upwards = Window.partitionBy("log_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
@@ -95,8 +99,9 @@ def compact_access_logs(lines: DataFrame) -> DataFrame:
 
 def filter_noise(lines: DataFrame) -> DataFrame:
     """Silent lines go; a single noise line goes; of a run of them a note is left where that is shorter."""
-    heard = lines.where(~any_of(F.col("line"), SILENT)).withColumn("tokens", token_count(F.col("line")))
-    marked = mark_runs(heard, any_of(F.col("line"), NOISE), any_of(F.col("line"), NOISE))
+    heard = lines.where(~any_of(F.col("line"), SILENT, SILENT_HINT)).withColumn("tokens", token_count(F.col("line")))
+    noise = any_of(F.col("line"), NOISE, NOISE_HINT)
+    marked = mark_runs(heard, noise, noise)
     run = Window.partitionBy("log_id", "run")
     marked = marked.withColumns({"n": F.count(F.lit(1)).over(run), "total": F.sum("tokens").over(run), "head": F.min("line_no").over(run)})
     noted = F.col("key") & (F.col("n") > 1) & (F.col("total") > 5)
@@ -134,8 +139,9 @@ def compress_prefix(lines: DataFrame) -> DataFrame:
     more are put under the time.
     """
     part = {name: F.regexp_extract("line", STRUCTURED, i) for i, name in ((1, "date"), (2, "time"), (3, "module"), (4, "level"), (5, "message"))}
-    rows = lines.where(~any_of(F.col("line"), SEPARATORS)).withColumns(part)
-    rows = rows.withColumn("parsed", F.col("time") != "").withColumn("date", F.nullif("date", F.lit("")))
+    rows = lines.where(~any_of(F.col("line"), SEPARATORS, r"[=\-*]{4}")).withColumns(part)
+    # the parts of a line stand for it from here on: it would pass through every sort with them
+    rows = rows.withColumn("parsed", F.col("time") != "").withColumns({"date": F.nullif("date", F.lit("")), "line": F.when(~F.col("parsed"), F.col("line"))})
     before = by_log().rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("known", F.last("date", ignorenulls=True).over(before))
     rows = rows.withColumn("dated", F.col("date").isNotNull() & ~F.col("date").eqNullSafe(F.col("known")))

@@ -22,6 +22,8 @@ IDENTIFIERS = (
     rf"{B1}(?=[A-Za-z]*\d)(?=\d*[A-Za-z])[A-Za-z0-9]{{20,}}{B2}",
     rf"{B1}(?=[A-Za-z0-9_]*_)(?=[A-Za-z0-9_]*\d)(?=[A-Za-z0-9_]*[a-zA-Z])[A-Za-z0-9_]{{20,}}{B2}",
 )
+#: What a line holds wherever one of them matches.
+_HINT = r"\p{XDigit}{7}|[\w-]{20}"
 #: A private character per kind of identifier holds its place while the others are looked for.
 _MASKS = tuple(chr(0xE001 + i) for i in range(len(IDENTIFIERS)))
 
@@ -52,8 +54,8 @@ def shorten_ids(lines: DataFrame) -> DataFrame:
 
     Only lines with identifiers are joined, token by token, with the dictionary: no log's dictionary is one value.
     """
-    found = frozen(find_identifiers(lines))  # read three times
-    plain = found.where(F.size("found") == 0).select("log_id", "line_no", "line")
+    found = frozen(find_identifiers(lines.where(F.col("line").rlike(_HINT))))  # read three times
+    plain = lines.where(~F.col("line").rlike(_HINT)).unionByName(found.where(F.size("found") == 0).select("log_id", "line_no", "line"))
     rich = found.where(F.size("found") > 0)
     tokens = rich.select("log_id", "line_no", F.explode("found").alias("f")).select("log_id", "line_no", "f.kind", "f.ord", "f.token")
     named = tokens.join(id_dictionary(found), ["log_id", "token"])
@@ -106,7 +108,8 @@ def _envelope_pattern(sample: Column) -> Column:
 
 def strip_envelope(lines: DataFrame) -> DataFrame:
     """Take off the commonest prefix that repeats a line's own time stamp, where it is common enough in its log."""
-    seen = lines.withColumn("envelope", F.when(~blank(F.col("line")), _envelope(F.col("line"))))
+    twice = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(":"), F.lit(""))) >= 4  # colons of two stamps
+    seen = lines.withColumn("envelope", F.when(twice, _envelope(F.col("line"))))
     totals = seen.groupBy("log_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(~blank(F.col("line"))).alias("shown"), F.count("envelope").alias("splits"))
     kinds = seen.where("envelope is not null").groupBy("log_id", _envelope_skeleton(F.col("envelope")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "envelope")).alias("first"))
     best = kinds.groupBy("log_id").agg(F.max(F.struct("n", (-F.col("first.line_no")).alias("early"), "first.envelope")).alias("best"))
@@ -129,12 +132,13 @@ def _formatted(runs: DataFrame) -> DataFrame:
     """
     clean = lambda t: F.when(t.rlike("^https?://"), sub(t, r"[.,;:]+\z", "")).otherwise(t)
     first = F.get("rows", F.lit(0))
-    runs = runs.withColumns({"raw": F.regexp_extract_all(first, F.lit(_TOKEN), F.lit(0)), "parts": F.split(sub(first, r"\r\z", ""), _TOKEN, -1)})
-    runs = runs.withColumn("tokens", F.transform("rows", lambda x: F.transform(F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0)), clean)))
-    runs = runs.withColumn("own", F.when(F.size("rows") > 1, F.get("tokens", F.lit(0))).otherwise(F.array().cast("array<string>")))
+    several = F.size("rows") > 1
+    runs = runs.withColumns({"raw": F.when(several, F.regexp_extract_all(first, F.lit(_TOKEN), F.lit(0))), "parts": F.when(several, F.split(sub(first, r"\r\z", ""), _TOKEN, -1))})
+    runs = runs.withColumn("tokens", F.when(several, F.transform("rows", lambda x: F.transform(F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0)), clean))))
+    runs = runs.withColumn("own", F.get("tokens", F.lit(0)))
     places = F.transform("own", lambda _, p: p)
     runs = runs.withColumn("varying", F.filter(places, lambda p: F.exists("tokens", lambda t: F.coalesce(F.get(t, p), F.lit("")) != F.get("own", p))))
-    runs = runs.withColumn("ports", F.regexp_extract_all(first, F.lit(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}:(\d+)"), F.lit(1)))
+    runs = runs.withColumn("ports", F.when(several, F.regexp_extract_all(first, F.lit(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}:(\d+)"), F.lit(1))))
     is_port = lambda p: F.get("own", p).rlike(r"^\d{3,5}\z") & F.array_contains("ports", F.get("own", p))
     runs = runs.withColumn("told", F.filter("varying", lambda p: ~is_port(p)))
     kind = lambda p: F.when(F.get("own", p).rlike("^https?://"), F.lit("URL")).otherwise(F.lit("N"))
@@ -148,7 +152,7 @@ def _formatted(runs: DataFrame) -> DataFrame:
     values = F.transform("told", lambda p: F.concat(F.lit(" | "), kind(p), number("told", p), F.lit(" = "), F.array_join(F.transform("tokens", lambda t: F.coalesce(F.get(t, p), F.lit(""))), ", ")))
     size = F.size("rows").cast("string")
     identical = F.concat(first, F.lit("\n[... "), (F.size("rows") - 1).cast("string"), F.lit(" identical lines omitted ...]"))
-    text = F.when(F.size("rows") == 1, first).when(F.size("varying") == 0, identical).otherwise(F.concat(F.lit("[x"), size, F.lit("] "), "template", F.array_join(values, "")))
+    text = F.when(~several, first).when(F.size("varying") == 0, identical).otherwise(F.concat(F.lit("[x"), size, F.lit("] "), "template", F.array_join(values, "")))
     return runs.select("log_id", "line_no", text.alias("line"))
 
 
@@ -163,12 +167,16 @@ def merge_error_suffixes(lines: DataFrame) -> DataFrame:
     """Lines that end in the same error, three or more in a log, as one line in the place of the last."""
     shape = rf"^({ANY}*?){B}((?:[A-Z][A-Za-z]*)?(?:Error|Exception|Warning|Rejection):{S}{ANY}+)\z"
     error = F.regexp_extract("line", shape, 2)
-    marked = lines.withColumns({"error": F.when(F.char_length(error) >= 20, error), "before": trim(sub(F.regexp_extract("line", shape, 1), rf"[:{WS}]+\z", ""))})
+    told = F.col("line").rlike(rf"(?:Error|Exception|Warning|Rejection):{S}") & (F.char_length(error) >= 20)
+    marked = lines.withColumns({"error": F.when(told, error), "before": trim(sub(F.regexp_extract("line", shape, 1), rf"[:{WS}]+\z", ""))})
     groups = marked.where("error is not null").groupBy("log_id", "error").agg(F.count(F.lit(1)).alias("n"), F.max("line_no").alias("last"), in_order("before").alias("names")).where("n >= 3")
-    joined = marked.join(groups, ["log_id", "error"], "left")
+    # lines without an error aren't shuffled: all of a log would meet in one task of the join
+    plain = lines.where(~F.coalesce(told, F.lit(False)))
+    joined = marked.where("error is not null").join(groups, ["log_id", "error"], "left")
     names = F.when(F.forall("names", lambda x: x != ""), F.concat(F.lit(" — "), F.array_join("names", ", "))).otherwise("")
     text = F.concat(F.lit("[x"), F.col("n").cast("string"), F.lit("] "), "error", names)
-    return joined.where("n is null or line_no = last").select("log_id", "line_no", F.when(F.col("n").isNotNull(), text).otherwise(F.col("line")).alias("line"))
+    shown = joined.where("n is null or line_no = last").select("log_id", "line_no", F.when(F.col("n").isNotNull(), text).otherwise(F.col("line")).alias("line"))
+    return plain.select("log_id", "line_no", "line").unionByName(shown)
 
 
 def deduplicate_lines(lines: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.text import char_count, token_count
 from ..operators import line_rules, sequential, whole_log
 from ..operators.focus import Focus, apply_focus
-from ..sources.lineage import frozen
+from ..sources.lineage import fixed_plans, frozen, frozen_logs
 from ..sources.lines import renumber
 
 
@@ -82,12 +82,13 @@ def step_measures(lines: DataFrame, switches: dict[str, bool] | None = None) ->
     Step 0 of the result is the total. Saved is the share of tokens that went, in percent to one decimal; null of nothing.
     """
     steps = chosen(switches)
-    now = frozen(lines)
-    stages = [measures(now).withColumn("step_no", F.lit(0))]
-    for i, step in enumerate(steps, 1):
-        now = frozen(step.apply(now))
-        stages.append(measures(now).withColumn("step_no", F.lit(i)))
-    every = frozen(fold(DataFrame.unionByName, stages))  # a few numbers a log, read four times: else all lines of all steps would be
+    with fixed_plans(lines.sparkSession):
+        now = frozen_logs(lines)
+        stages = [measures(now).withColumn("step_no", F.lit(0))]
+        for i, step in enumerate(steps, 1):
+            now = frozen_logs(step.apply(now))
+            stages.append(measures(now).withColumn("step_no", F.lit(i)))
+        every = frozen(fold(DataFrame.unionByName, stages))  # a few numbers a log, read four times: else all lines of all steps would be
     cols = ("tokens", "lines", "chars")
     after = every.where("step_no > 0").select("log_id", "step_no", *[F.col(c).alias(f"{c}_after") for c in cols])
     before = every.select("log_id", (F.col("step_no") + 1).alias("step_no"), *[F.col(c).alias(f"{c}_before") for c in cols])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def frozen(df: DataFrame) -> DataFrame:
@@ -20,3 +22,20 @@ def frozen(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomlog-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def frozen_logs(lines: DataFrame) -> DataFrame:
+    """Frozen lines, each log in one partition and in order; under ``fixed_plans`` later windows over logs know that and shuffle nothing."""
+    return frozen(lines.repartition("log_id").sortWithinPartitions("log_id", "line_no"))
+
+
+@contextmanager
+def fixed_plans(spark: SparkSession) -> Iterator[None]:
+    """What is frozen in this block is planned once: an adaptive plan's checkpoint forgets how its rows are dealt out and sorted."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
